@@ -28,6 +28,8 @@ from tessaline.llm import textkernel as K
 from tessaline.session import ship, shuffle_width, written_by_key
 
 BLOCK_BYTES = 8 << 20
+#: block_id * BLOCK_ROWS + place in the block is an id of a row: unique, a long, fixed once the blocks are written.
+BLOCK_ROWS = 1 << 16
 SCHEMA = "block_id long, n_rows long, payload binary"
 
 
@@ -62,16 +64,16 @@ def blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES,
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        base, n = TaskContext.get().partitionId() << 32, 0
+        base, n = TaskContext.get().partitionId() << 20, 0
         held: list[pa.RecordBatch] = []
-        size = 0
+        size = held_rows = 0
 
         def out() -> pa.RecordBatch:
-            nonlocal n, size
+            nonlocal n, size, held_rows
             t = pa.Table.from_batches(held).combine_chunks()
             row = pa.RecordBatch.from_pydict({"block_id": [base + n], "n_rows": [t.num_rows], "payload": [squeeze(t)]})
             held.clear()
-            n, size = n + 1, 0
+            n, size, held_rows = n + 1, 0, 0
             return row
 
         for batch in batches:
@@ -81,11 +83,12 @@ def blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES,
             while at < batch.num_rows:
                 done = int(total[at - 1]) if at else 0
                 to = int(np.searchsorted(total, done + block_bytes - size, side="left")) + 1
-                to = min(to, batch.num_rows)
+                to = min(to, batch.num_rows, at + BLOCK_ROWS - held_rows)
                 held.append(batch.slice(at, to - at))
                 size += int(total[to - 1]) - done
+                held_rows += to - at
                 at = to
-                if size >= block_bytes:
+                if size >= block_bytes or held_rows >= BLOCK_ROWS:
                     yield out()
         if held:
             yield out()

@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tessaline.session import table
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.ngram_join import ngram_jaccard_join
+
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"), n=5, percent=80)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.substring_dedup import substring_dedup
 
@@ -19,6 +25,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_substring_dedup": op6_substring_dedup,
     }
 
