@@ -23,10 +23,24 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary="word_bpe_49k.json", max_tokens=2048)
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), vocabulary="piece_bpe_32k.model")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_best_fit_packing": op7_best_fit_packing,
+        "op10_quality_rules": op10_quality_rules,
     }
 
 
