@@ -9,7 +9,7 @@ array operations, so nothing loops over words in Python.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -149,15 +149,19 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE, fold: np.ndarray | None = None) -> Words:
-    """The words of the texts data[offsets[i]:offsets[i + 1]]; `breaks` says which bytes part words, `fold` maps bytes first."""
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE, fold: np.ndarray | None = None, refine: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> Words:
+    """The words of the texts data[offsets[i]:offsets[i + 1]]; `breaks` says which bytes part words, `fold` maps bytes first.
+
+    `refine` may map the bytes again and cut words further: it gets all bytes and gives them back with
+    True at each byte that starts a new part if it stands inside a word.
+    """
     offsets = offsets - offsets[0]
     n = len(data)
     if fold is not None:
         data = fold[data]
     # one break byte after each text keeps words of neighbouring texts apart
     texts = len(offsets) - 1
-    at = offsets[:-1] + np.arange(texts)
+    text_begin = offsets[:-1] + np.arange(texts)
     spread = np.full(n + texts, 0x0A, dtype=np.uint8)
     keep = np.ones(n + texts, dtype=bool)
     keep[offsets[1:] + np.arange(texts)] = False
@@ -166,16 +170,22 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE, fol
     gap[~keep] = True
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).astype(np.int8)))
     begin, end = edge[0::2], edge[1::2]
+    if refine is not None:
+        spread, cut = refine(spread)
+        cut[1:] &= ~gap[1:] & ~gap[:-1]
+        cut[:1] = False
+        at = np.flatnonzero(cut)
+        begin, end = np.sort(np.concatenate([begin, at])), np.sort(np.concatenate([end, at]))
     text_end = offsets[1:] + np.arange(texts)
     first = np.concatenate(([0], np.searchsorted(begin, text_end)))
-    return Words(spread, at, text_end, begin, end, first)
+    return Words(spread, text_begin, text_end, begin, end, first)
 
 
-def of_array(texts: pa.Array, breaks: np.ndarray = WHITE, fold: np.ndarray | None = None, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def of_array(texts: pa.Array, breaks: np.ndarray = WHITE, fold: np.ndarray | None = None, limit: int = CHUNK_BYTES, refine: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[int, int, Words]]:
     """Words of a string column, chunk by chunk: (from, to, words)."""
     data, offsets = flat_bytes(texts)
     for a, b in chunks(offsets, limit):
-        yield a, b, words(data[offsets[a] : offsets[b]], offsets[a : b + 1], breaks, fold)
+        yield a, b, words(data[offsets[a] : offsets[b]], offsets[a : b + 1], breaks, fold, refine)
 
 
 def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -8,12 +8,15 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 
-from tessaline.llm.textkernel import Words, ragged
+from tessaline.llm.textkernel import Words, ragged, span_fingerprints
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
+#: Stands between words that are encoded together; it is a token of its own, and words that hold it are encoded alone.
+PART = b"\x01"
 _ENCODERS: dict[str, Callable[[list[bytes]], list[list[int]]]] = {}
 _CACHES: dict[str, WordCache] = {}
 
@@ -36,7 +39,9 @@ def encoder(name: str) -> Callable[[list[bytes]], list[list[int]]]:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
-            _ENCODERS[name] = lambda words: [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
+            one = lambda text: t.encode(text, add_special_tokens=False).ids
+            part = one(PART.decode())
+            _ENCODERS[name] = lambda words: _together(words, one, part)
         else:
             import sentencepiece
 
@@ -45,52 +50,82 @@ def encoder(name: str) -> Callable[[list[bytes]], list[list[int]]]:
     return _ENCODERS[name]
 
 
+def _together(words: list[bytes], one: Callable[[str], list[int]], part: list[int]) -> list[list[int]]:
+    """Encode words in one call, with the part between, which spares the cost of a call for each."""
+    if len(part) != 1:
+        return [one(w.decode()) for w in words]
+    out: list[list[int]] = []
+    for at in range(0, len(words), 4096):
+        some = words[at : at + 4096]
+        odd = {i: one(w.decode()) for i, w in enumerate(some) if PART in w}
+        ids = one((b" " + PART + b" ").join([b"" if i in odd else w for i, w in enumerate(some)]).decode()) if len(odd) < len(some) else []
+        flat = np.asarray(ids, dtype=np.uint32)
+        cut = np.flatnonzero(flat == part[0])
+        if len(odd) < len(some) and len(cut) != len(some) - 1:
+            out += [one(w.decode()) for w in some]
+            continue
+        begin, end = [0, *(cut + 1).tolist()], [*cut.tolist(), len(ids)]
+        out += [odd[i] if i in odd else ids[begin[i] : end[i]] for i in range(len(some))]
+    return out
+
+
 class WordCache:
+    """Words are known by 128 bits: sorted first fingerprints, and the second ones to confirm them."""
+
     def __init__(self, name: str):
         self.encode = encoder(name)
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.begin = np.zeros(1024, dtype=np.int64)
-        self.size = np.zeros(1024, dtype=np.int64)
-        self.ids = np.zeros(4096, dtype=np.uint32)
+        self.key = np.zeros(0, dtype=np.uint64)
+        self.check = np.zeros(0, dtype=np.uint64)
+        self.begin = np.zeros(0, dtype=np.int64)
+        self.size = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros(1 << 16, dtype=np.uint32)
         self.used = 0
 
-    def _add(self, words: list[bytes]) -> None:
+    def _add(self, key: np.ndarray, check: np.ndarray, words: list[bytes]) -> None:
         found = self.encode(words)
-        at = len(self.place)
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         total = int(sizes.sum())
-        for name, need in (("begin", at + len(words)), ("size", at + len(words)), ("ids", self.used + total)):
-            have = getattr(self, name)
-            if len(have) < need:
-                setattr(self, name, np.concatenate([have, np.zeros(max(need - len(have), len(have)), dtype=have.dtype)]))
-        self.size[at : at + len(words)] = sizes
-        self.begin[at : at + len(words)] = self.used + np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in found for i in x), dtype=np.uint32, count=total)
+        if len(self.ids) < self.used + total:
+            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), dtype=np.uint32)])
+        self.ids[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), dtype=np.uint32, count=total)
+        begin = self.used + np.concatenate(([0], np.cumsum(sizes)[:-1]))
         self.used += total
-        self.place.update(zip(words, range(at, at + len(words))))
+        at = np.searchsorted(self.key, key)
+        for name, new in (("key", key), ("check", check), ("begin", begin), ("size", sizes)):
+            setattr(self, name, np.insert(getattr(self, name), at, new))
 
-    def places(self, w: Words) -> np.ndarray:
-        """The place in the cache of each word."""
+    def of(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes): the ids of all words one after another, and how many each has."""
         if not len(w.begin):
-            return np.zeros(0, dtype=np.int64)
-        if len(self.place) > CACHE_WORDS:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        if len(self.key) > CACHE_WORDS:
             self.clear()
-        _, at, back = np.unique(w.fingerprints(), return_index=True, return_inverse=True)
+        key, at, back = np.unique(w.fingerprints(), return_index=True, return_inverse=True)
+        check = span_fingerprints(w.data, w.begin[at], w.end[at], 1)
+        place = np.searchsorted(self.key, key)
+        known = np.zeros(len(key), dtype=bool)
+        inside = place < len(self.key)
+        known[inside] = self.key[place[inside]] == key[inside]
+        other = known.copy()
+        other[known] = self.check[place[known]] != check[known]
+        new = np.flatnonzero(~known)
         data = w.data.tobytes()
-        distinct = [data[a:b] for a, b in zip(w.begin[at].tolist(), w.end[at].tolist())]
-        new = [x for x in distinct if x not in self.place]
-        if new:
-            self._add(new)
-        return np.fromiter(map(self.place.__getitem__, distinct), dtype=np.int64, count=len(distinct))[back]
-
-    def of(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, sizes): the ids of all words one after another, and how many each has."""
-        places = self.places(w)
-        sizes = self.size[places]
-        return self.ids[ragged(self.begin[places], sizes)], sizes
+        cut = lambda which: [data[a:b] for a, b in zip(w.begin[at[which]].tolist(), w.end[at[which]].tolist())]
+        if len(new):
+            self._add(key[new], check[new], cut(new))
+            place = np.searchsorted(self.key, key)
+        begin, size, ids = self.begin[place], self.size[place], self.ids
+        if other.any():  # another word has the same 64 bits: these few are encoded by themselves
+            alone = np.flatnonzero(other)
+            found = self.encode(cut(alone))
+            size[alone] = [len(x) for x in found]
+            begin[alone] = self.used + np.concatenate(([0], np.cumsum(size[alone])[:-1]))
+            ids = np.concatenate([ids[: self.used], np.asarray([i for x in found for i in x], dtype=np.uint32)])
+        sizes = size[back]
+        return ids[ragged(begin[back], sizes)], sizes
 
 
 def cache(name: str) -> WordCache:

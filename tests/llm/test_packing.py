@@ -39,6 +39,27 @@ def test_ids_and_places(spark):
     check(spark, texts, 16)
 
 
+def test_parts_give_the_same_ids():
+    import pyarrow as pa
+
+    from tessaline.llm import textkernel as K
+    from tessaline.llm.packing import lower_parts
+    from tessaline.llm.tokens import WordCache
+
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rng = random.Random(4)
+    odd = ["a", "B", "'s", "'", "LL", "1", "22", ".", "!!", "é", "É", "×", "÷", "ß", "Ä", "\u0301", "\u0323", "—", " ", "\n", "\u00a0", "\x85", "\x1c", "日", "²", "½", "ǅ", "İ", "K", "$", "|", "\x01", "Σ", "_"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randint(1, 30))) for _ in range(3000)]
+    more = [x + rng.choice(["<|endoftext|>", "<|ENDOFTEXT|>", "<|", "<|startoftext|>a"]) for x in texts[:200]]
+    words = WordCache("word_bpe_49k.json")
+    for some in (texts, more):
+        for a, b, w in K.of_array(pa.array(some), limit=2000, refine=lower_parts):
+            ids, sizes = words.of(w)
+            ends = np.concatenate(([0], np.cumsum(sizes)))[w.first]
+            for i in range(a, b):
+                assert ids[ends[i - a] : ends[i - a + 1]].tolist() == t.encode(some[i], add_special_tokens=False).ids, some[i]
+
+
 def test_whole_table(spark, sf):
     n, total = check(spark, [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
     assert n <= 1.02 * -(-total // 2048) + 1
