@@ -149,6 +149,17 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+def spread(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, begins, ends) of the texts with one line break after each, which keeps neighbours apart."""
+    texts = len(offsets) - 1
+    out = np.full(len(data) + texts, 0x0A, dtype=np.uint8)
+    keep = np.ones(len(out), dtype=bool)
+    end = offsets[1:] + np.arange(texts)
+    keep[end] = False
+    out[keep] = data
+    return out, offsets[:-1] + np.arange(texts), end
+
+
 def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE, fold: np.ndarray | None = None, refine: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> Words:
     """The words of the texts data[offsets[i]:offsets[i + 1]]; `breaks` says which bytes part words, `fold` maps bytes first.
 
@@ -156,29 +167,21 @@ def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = WHITE, fol
     True at each byte that starts a new part if it stands inside a word.
     """
     offsets = offsets - offsets[0]
-    n = len(data)
     if fold is not None:
         data = fold[data]
-    # one break byte after each text keeps words of neighbouring texts apart
-    texts = len(offsets) - 1
-    text_begin = offsets[:-1] + np.arange(texts)
-    spread = np.full(n + texts, 0x0A, dtype=np.uint8)
-    keep = np.ones(n + texts, dtype=bool)
-    keep[offsets[1:] + np.arange(texts)] = False
-    spread[keep] = data
-    gap = breaks[spread]
-    gap[~keep] = True
+    parted, text_begin, text_end = spread(data, offsets)
+    gap = breaks[parted]
+    gap[text_end] = True
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap)).astype(np.int8)))
     begin, end = edge[0::2], edge[1::2]
     if refine is not None:
-        spread, cut = refine(spread)
+        parted, cut = refine(parted)
         cut[1:] &= ~gap[1:] & ~gap[:-1]
         cut[:1] = False
         at = np.flatnonzero(cut)
         begin, end = np.sort(np.concatenate([begin, at])), np.sort(np.concatenate([end, at]))
-    text_end = offsets[1:] + np.arange(texts)
     first = np.concatenate(([0], np.searchsorted(begin, text_end)))
-    return Words(spread, text_begin, text_end, begin, end, first)
+    return Words(parted, text_begin, text_end, begin, end, first)
 
 
 def of_array(texts: pa.Array, breaks: np.ndarray = WHITE, fold: np.ndarray | None = None, limit: int = CHUNK_BYTES, refine: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None) -> Iterator[tuple[int, int, Words]]:
