@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from tessaline.session import table
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.language import identify_language, in_fold
+
+    out = identify_language(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return out.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.ngram_join import ngram_jaccard_join
 
@@ -29,6 +36,18 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary="word_bpe_49k.json", max_tokens=2048)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.licenses import license_scan
+
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+def op9_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.html import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.quality import quality_rules
 
@@ -37,9 +56,12 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_language_id": op2_language_id,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
+        "op8_license_scan": op8_license_scan,
+        "op9_html_extract": op9_html_extract,
         "op10_quality_rules": op10_quality_rules,
     }
 
