@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tessaline.session import table
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.language import identify_language, in_fold
 
@@ -56,6 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_line_dedup": op1_line_dedup,
         "op2_language_id": op2_language_id,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_substring_dedup": op6_substring_dedup,

@@ -115,6 +115,14 @@ def window_fingerprints(values: np.ndarray, width: int, which: int = 0) -> np.nd
     return mix((total[width:] - total[:n]) * down[:n] + U64(width))
 
 
+def run_fingerprints(values: np.ndarray, begin: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit fingerprint of each run values[begin:end]."""
+    up, down = powers(len(values) + 1, which)
+    total = np.zeros(len(values) + 1, dtype=U64)
+    np.cumsum(values * up[: len(values)], out=total[1:])
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(U64))
+
+
 def window_starts(first: np.ndarray, width: int) -> np.ndarray:
     """True at each word where a window of `width` words of one text starts."""
     n = int(first[-1])
