@@ -23,6 +23,18 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.mixing import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessaline.llm.topk import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.ngram_join import ngram_jaccard_join
 
@@ -64,6 +76,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_language_id": op2_language_id,
+        "op3_mix_sources": op3_mix_sources,
+        "op4_exact_top_k": op4_exact_top_k,
         "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_best_fit_packing": op7_best_fit_packing,
@@ -74,4 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for the queries that SQL can express; the others are tested against brute force in tests/llm."""
+    from tessaline.llm import mixing, topk
+
+    return {"op3_mix_sources": mixing.ORACLE, "op4_exact_top_k": topk.ORACLE}
