@@ -4,16 +4,684 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from tessaline.functions import codecs, embedding
+from tessaline.functions import vectors as V
+from tessaline.operators import analytics, collections, components, filters, graph, scoring, search
+from tessaline.plans.planner import UnifiedQuery
+from tessaline.session import ship, table
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        _QUERIES[name] = run
+        if sql is not None:
+            _SQL[name] = sql
+        return f
 
+    return add
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return k1_knn_cosine(spark, sf_dir)
+
+
+E = "e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 0)"
+IP = "list_inner_product"
+COS = f"round(1 - {IP}(v, q) / (sqrt({IP}(v, v)) * sqrt({IP}(q, q))), 6)"
+L2 = "round(list_distance(v, q), 6)"
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "embeddings")
+
+
+def by_id(spark: SparkSession, d: str, key: int = 0) -> list[float]:
+    return search.vector_of(vectors(spark, d), key)
+
+
+# -- scans, sources, sinks ------------------------------------------------------------------------------------------
+
+
+@query("s1_scan", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY source")
+def _(spark, d):
+    return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("s2_point_lookup", "SELECT doc_id, lang, source FROM documents WHERE doc_id = 17")
+def _(spark, d):
+    return collections.Collection("docs", table(spark, d, "documents"), id_col="doc_id").get(17).select("doc_id", "lang", "source")
+
+
+@query("s3_collections", "SELECT label::VARCHAR AS collection, count(*) AS points, count(embedding) AS vectors FROM embeddings GROUP BY label")
+def _(spark, d):
+    return collections.listing(vectors(spark, d).withColumn("label", F.col("label").cast("string")), "label", "embedding")
+
+
+@query("s4_scroll", "SELECT doc_id, lang FROM documents WHERE doc_id > 20 AND lang = 'en' ORDER BY doc_id LIMIT 10")
+def _(spark, d):
+    return collections.Collection("docs", table(spark, d, "documents"), id_col="doc_id").scroll(10, 20, F.col("lang") == "en").select("doc_id", "lang")
+
+
+@query("s5_upsert", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE p_brand END AS p_brand FROM part UNION ALL SELECT p_partkey + 1000000, 'new' FROM part WHERE p_partkey % 3 = 1")
+def _(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_brand")
+    new = part.where("p_partkey % 3 = 0").unionAll(part.where("p_partkey % 3 = 1").selectExpr("p_partkey + 1000000", "p_brand")).withColumn("p_brand", F.lit("new"))
+    stale = new.withColumn("p_brand", F.lit("old")).withColumn("at", F.lit(1)).unionAll(new.withColumn("at", F.lit(2)))
+    return collections.Collection("parts", part.withColumn("at", F.lit(0)), id_col="p_partkey").upsert(stale, F.col("at")).rows.select("p_partkey", "p_brand")
+
+
+@query("s7_partial_update", "SELECT p_partkey, p_brand, CASE WHEN p_partkey % 5 = 0 THEN 99 ELSE p_size END AS p_size FROM part")
+def _(spark, d):
+    part = table(spark, d, "part").select("p_partkey", "p_brand", "p_size")
+    change = part.where("p_partkey % 5 = 0").select("p_partkey", F.lit(99).alias("p_size"), F.lit(None).cast("string").alias("p_brand"))
+    return collections.Collection("parts", part, id_col="p_partkey").update(change).rows
+
+
+@query("s8_delete", "SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def _(spark, d):
+    return collections.Collection("docs", table(spark, d, "documents"), id_col="doc_id").delete(table(spark, d, "labels").where("toxic = 1")).rows.select("doc_id", "lang")
+
+
+@query("s13_links", "SELECT s.s_suppkey, p.p_partkey, count(*) AS n FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN part p ON p.p_partkey = l.l_partkey WHERE s.s_suppkey < 5 GROUP BY 1, 2")
+def _(spark, d):
+    link = table(spark, d, "lineitem").select("l_suppkey", "l_partkey").where("l_suppkey < 5")
+    out = link.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return out.groupBy("s_suppkey", "p_partkey").agg(F.count("*").alias("n"))
+
+
+@query("s16_text_vectors", "SELECT vec_id, embedding[1]::DOUBLE AS x FROM embeddings")
+def _(spark, d):
+    text = vectors(spark, d).select("vec_id", F.array_join(F.transform(V.vec("embedding"), lambda x: x.cast("string")), " , ").alias("t"))
+    return text.select("vec_id", V.parse(F.col("t"))[0].alias("x"))
+
+
+@query("s23_visible", "SELECT doc_id FROM documents WHERE source IN ('src1', 'src2')")
+def _(spark, d):
+    return collections.visible(table(spark, d, "documents"), ["src1", "src2"], "source").select("doc_id")
+
+
+@query("s18_changed_files", "SELECT page_id, url FROM pages WHERE page_id % 4 = 0")
+def _(spark, d):
+    new = table(spark, d, "pages").select("page_id", "url", F.sha2("html", 256).alias("hash"), F.length("html").alias("size"))
+    old = new.select("page_id", F.when(F.col("page_id") % 4 == 0, "stale").otherwise(F.col("hash")).alias("hash"), "size")
+    return collections.changed(new, old, "page_id", ["hash", "size"]).select("page_id", "url")
+
+
+# -- filters --------------------------------------------------------------------------------------------------------
+
+
+@query("f3_filter_tree", """SELECT event_id FROM events WHERE event_type = 'click' AND coalesce((props->>'k')::DOUBLE >= 2, false)
+  AND NOT (event_id IN (1, 2, 3)) AND (coalesce(value < 50, false) OR coalesce(user_id = 7, false))""")
+def _(spark, d):
+    rows = table(spark, d, "events")
+    field = filters.json_field("props")
+    resolve = lambda key: field(key) if key == "k" else F.col(key)
+    doc = {"must": [{"key": "event_type", "match": "click"}, {"key": "k", "range": {"gte": 2}}], "must_not": [{"has_id": [1, 2, 3]}], "should": [{"key": "value", "range": {"lt": 50}}, {"key": "user_id", "match": 7}]}
+    return rows.where(filters.clauses(doc, resolve, "event_id")).select("event_id")
+
+
+@query("f7_missing_metadata", "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE NOT coalesce(l.quality = 1, false)")
+def _(spark, d):
+    rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.where(filters.clauses({"must_not": [{"key": "quality", "match": 1}]})).select("doc_id")
+
+
+@query("f11_property_operators", "SELECT p_partkey FROM part WHERE p_name LIKE '%1%' AND p_brand LIKE 'B%' AND p_size >= 10 AND p_type <> 'x' AND p_retailprice < 1500")
+def _(spark, d):
+    doc = {"p_name": {"contains": "1"}, "p_brand": {"starts_with": "B"}, "p_size": {"greater_equal": 10}, "p_type": {"not_equals": "x"}, "p_retailprice": {"<": 1500.0}}
+    return table(spark, d, "part").where(filters.document(doc)).select("p_partkey")
+
+
+@query("f12_regex_in_range", "SELECT p_partkey FROM part WHERE regexp_matches(p_name, '[0-9]$') AND p_size IN (1, 5, 9, 13) AND p_retailprice BETWEEN 900 AND 1800 AND p_partkey NOT IN (4, 5)")
+def _(spark, d):
+    doc = {"p_name": {"regex": "[0-9]$"}, "p_size": {"in": [1, 5, 9, 13]}, "p_retailprice": {"between": [900.0, 1800.0]}, "p_partkey": {"not_in": [4, 5]}}
+    return table(spark, d, "part").where(filters.document(doc)).select("p_partkey")
+
+
+@query("f18_documents", "SELECT doc_id FROM documents WHERE (lang IN ('de', 'fr') OR n_chars > 5000) AND NOT (source = 'src0')")
+def _(spark, d):
+    doc = {"$or": [{"lang": {"$in": ["de", "fr"]}}, {"n_chars": {"$gt": 5000}}], "$not": {"source": "src0"}}
+    return table(spark, d, "documents").where(filters.document(doc)).select("doc_id")
+
+
+@query("f19_free_text", "SELECT p_partkey FROM part WHERE lower(p_name) LIKE '%7%' OR lower(p_type) LIKE '%7%'")
+def _(spark, d):
+    return table(spark, d, "part").where(filters.free_text("7", F.col("p_name"), F.col("p_type"))).select("p_partkey")
+
+
+@query("f23_globs", "SELECT page_id FROM pages WHERE url LIKE 'https://%' AND NOT url LIKE '%feed'")
+def _(spark, d):
+    return table(spark, d, "pages").where(filters.accepted(F.col("url"), ["https://*"], ["*feed"])).select("page_id")
+
+
+@query("f24_dates", "SELECT o_orderkey FROM orders WHERE o_orderdate BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1995-06-30'")
+def _(spark, d):
+    return table(spark, d, "orders").where("o_orderdate between timestamp_ntz '1995-01-01' and timestamp_ntz '1995-06-30'").select("o_orderkey")
+
+
+@query("f25_vector_slices", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding[1:8], lambda x: x < -0.2 OR x > 0.2)) = 0")
+def _(spark, d):
+    return vectors(spark, d).where(F.forall(F.slice("embedding", 1, 8), lambda x: x.between(-0.2, 0.2))).select("vec_id")
+
+
+# -- vectors --------------------------------------------------------------------------------------------------------
+
+
+@query("v_metrics_pairwise", f"""WITH {E} SELECT a.vec_id AS i, b.vec_id AS j, round(list_distance(a.v, b.v), 6) AS l2, round(-{IP}(a.v, b.v), 6) AS dot,
+  round(1 - {IP}(a.v, b.v) / (sqrt({IP}(a.v, a.v)) * sqrt({IP}(b.v, b.v))), 6) AS cosine,
+  round(list_sum(list_transform(list_zip(a.v, b.v), lambda x: abs(x[1] - x[2]))), 6) AS l1,
+  list_sum(list_transform(list_zip(a.v, b.v), lambda x: ((x[1] > 0.5) <> (x[2] > 0.5))::INT))::DOUBLE AS hamming FROM e a JOIN e b ON a.vec_id < b.vec_id WHERE b.vec_id < 50""")
+def _(spark, d):
+    e = vectors(spark, d).where("vec_id < 50").select("vec_id", V.vec("embedding").alias("v"))
+    p = e.select(F.col("vec_id").alias("i"), F.col("v").alias("a")).join(F.broadcast(e.select(F.col("vec_id").alias("j"), F.col("v").alias("b"))), F.col("i") < F.col("j"))
+    return p.select("i", "j", *[F.round(V.distance(m, F.col("a"), F.col("b")), 6).alias(m) for m in ("l2", "dot", "cosine", "l1", "hamming")])
+
+
+@query("v8_normalize", f"WITH {E} SELECT vec_id, round(v[3] * 3 / sqrt({IP}(v, v) * 9), 6) AS x FROM e")
+def _(spark, d):
+    return vectors(spark, d).select("vec_id", F.round(V.normalize(F.transform(V.vec("embedding"), lambda x: x * 3))[2], 6).alias("x"))
+
+
+@query("v9_approximate", f"WITH {E} SELECT vec_id, {L2} AS rough FROM e, q")
+def _(spark, d):
+    q = F.array(*[F.lit(x) for x in by_id(spark, d)])
+    return vectors(spark, d).select("vec_id", F.round(V.approximate_l2(V.vec("embedding"), q, 64), 6).alias("rough"))
+
+
+@query("v11_pruner", f"""WITH {E} SELECT vec_id, sqrt(list_sum(list_transform(range(0, 16), lambda i: (v[i * 4 + 1] - q[i * 4 + 1]) ** 2)) * 4) > 1.4 AS pruned FROM e, q""")
+def _(spark, d):
+    q = F.array(*[F.lit(x) for x in by_id(spark, d)])
+    return vectors(spark, d).select("vec_id", V.prunes(V.vec("embedding"), q, 64, 16, 1.4).alias("pruned"))
+
+
+@query("v13_scores", f"WITH {E} SELECT vec_id, round(1 - {COS}, 6) AS one_minus, round(1 / (1 + {COS}), 6) AS inverse, round(exp(-({COS})), 6) AS exponential FROM e, q WHERE vec_id > 0")
+def _(spark, d):
+    r = search.measured(vectors(spark, d).where("vec_id > 0"), by_id(spark, d))
+    return r.select("vec_id", *[F.round(V.score(F.col("distance"), k), 6).alias(k) for k in ("one_minus", "inverse", "exponential")])
+
+
+@query("v16_statistics", f"""WITH {E} SELECT vec_id, round(sqrt({IP}(v, v)), 6) AS magnitude, round(list_avg(v), 6) AS mean, round(list_stddev_pop(v), 6) AS sd, round(list_min(v), 6) AS low, round(list_max(v), 6) AS high,
+  round(len(list_filter(v, lambda x: abs(x) < 0.05)) / len(v), 6) AS sparse FROM e""")
+def _(spark, d):
+    v = V.vec("embedding")
+    return vectors(spark, d).select("vec_id", *[F.round(c, 6).alias(n) for n, c in (("magnitude", V.norm(v)), ("mean", V.mean(v)), ("sd", V.spread(v)), ("low", F.array_min(v)), ("high", F.array_max(v)), ("sparse", V.sparsity(v, 0.05)))])
+
+
+@query("v17_entropy", f"""WITH {E}, b AS (SELECT vec_id, unnest(list_transform(v, lambda x: floor(abs(x) / list_max(list_transform(v, lambda y: abs(y))) * 9))) AS bin FROM e),
+  c AS (SELECT vec_id, bin, count(*) / 64.0::DOUBLE AS p FROM b GROUP BY 1, 2) SELECT vec_id, round(sum(-p * log2(p)), 6) AS entropy FROM c GROUP BY 1""")
+def _(spark, d):
+    return vectors(spark, d).select("vec_id", F.round(V.entropy(V.vec("embedding")), 6).alias("entropy"))
+
+
+def _quantized(bits: int) -> str:
+    top = (1 << bits) - 1
+    return f"""WITH {E}, r AS (SELECT vec_id, v, list_min(v) AS lo, list_max(v) AS hi FROM e), c AS (SELECT vec_id, v, lo, hi, list_transform(v, lambda x: least({top}, floor((x - lo) / (hi - lo) * {top} + 0.5))) AS c FROM r)
+      SELECT vec_id, list_sum(c)::BIGINT AS codes, round(list_max(list_transform(list_zip(v, c), lambda x: abs(x[1] - (lo + x[2] * ((hi - lo) / {top}))))), 6) AS error FROM c"""
+
+
+def _quantize(bits: int) -> Query:
+    def run(spark, d):
+        v = V.vec("embedding")
+        r = vectors(spark, d).select("vec_id", v.alias("v"), codecs.quantize(v, bits).alias("q"))
+        error = F.array_max(F.zip_with("v", codecs.dequantize(F.col("q")), lambda a, b: F.abs(a - b)))
+        return r.select("vec_id", F.aggregate("q.codes", F.lit(0).cast("long"), lambda s, x: s + x).alias("codes"), F.round(error, 6).alias("error"))
+
+    return run
+
+
+query("v19_quantize8", _quantized(8))(_quantize(8))
+query("v19_quantize4", _quantized(4))(_quantize(4))
+
+
+@query("v20_subspaces")
+def _(spark, d):
+    v = V.vec("embedding")
+    back = codecs.from_subspaces(codecs.subspaces(v, 64))
+    return vectors(spark, d).select("vec_id", F.size(back).alias("dims"), F.round(F.array_max(F.zip_with(v, back, lambda a, b: F.abs(a - b))), 6).alias("error"))
+
+
+@query("v21_sparse", "SELECT vec_id, len(list_filter(embedding, lambda x: abs(x::DOUBLE) > 0.1))::INTEGER AS kept, round(list_sum(list_filter(embedding::DOUBLE[], lambda x: abs(x) > 0.1)), 6) AS total FROM embeddings")
+def _(spark, d):
+    s = codecs.sparse(V.vec("embedding"), 0.1)
+    return vectors(spark, d).select("vec_id", F.size(s).alias("kept"), F.round(V.total(codecs.from_sparse(s, 64)), 6).alias("total"))
+
+
+@query("v22_round_trips", "SELECT vec_id, true AS delta, true AS runs FROM embeddings")
+def _(spark, d):
+    codes = F.transform(V.vec("embedding"), lambda x: F.floor(x * 4).cast("int"))
+    r = vectors(spark, d).select("vec_id", codes.alias("c"))
+    return r.select("vec_id", (codecs.from_delta(codecs.delta(F.col("c"))) == F.col("c")).alias("delta"), (codecs.from_run_lengths(codecs.run_lengths(F.col("c"))) == F.col("c")).alias("runs"))
+
+
+@query("v23_codec_choice", "SELECT 'quantize8' AS codec, count(*) AS n FROM embeddings")
+def _(spark, d):
+    v = V.vec("embedding")
+    return vectors(spark, d).select(codecs.choose(V.sparsity(v), V.entropy(v), F.size(v)).alias("codec")).groupBy("codec").agg(F.count("*").alias("n"))
+
+
+@query("v25_binary_knn", """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: (x >= 0)::INT) AS b FROM embeddings), q AS (SELECT b AS q FROM e WHERE vec_id = 0)
+  SELECT vec_id, list_sum(list_transform(list_zip(b, q), lambda x: abs(x[1] - x[2])))::INTEGER AS bits FROM e, q ORDER BY bits, vec_id LIMIT 10""")
+def _(spark, d):
+    e = vectors(spark, d).select("vec_id", codecs.binary_codes(V.vec("embedding")).alias("b"))
+    q = e.where("vec_id = 0").select(F.col("b").alias("q")).limit(1)
+    return e.join(F.broadcast(q)).select("vec_id", codecs.binary_distance(F.col("b"), F.col("q")).alias("bits")).orderBy("bits", "vec_id").limit(10)
+
+
+@query("v28_hash_embedding")
+def _(spark, d):
+    e = table(spark, d, "documents").select("doc_id", embedding.hash_embedding(F.col("text"), 384).alias("v"))
+    return e.select("doc_id", F.size("v").alias("dims"), F.round(V.norm(F.col("v")), 6).alias("norm"))
+
+
+@query("v29_checksums", "SELECT p_partkey, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(p_name, ''), lambda c: ascii(c)::BIGINT)), lambda s, x: (s * 31 + x) % 4294967296) AS poly FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select("p_partkey", embedding.word_hash(F.col("p_name")).alias("poly"))
+
+
+# -- search ---------------------------------------------------------------------------------------------------------
+
+
+@query("k1_knn_cosine", f"WITH {E} SELECT vec_id, label, {COS} AS distance FROM e, q WHERE vec_id <> 0 AND label IN (0, 1, 2, 3, 4) ORDER BY distance, vec_id LIMIT 10")
+def k1_knn_cosine(spark, d):
+    near = search.knn(vectors(spark, d).where("vec_id <> 0"), by_id(spark, d), 10, "cosine", F.col("label").isin(0, 1, 2, 3, 4))
+    return near.select("vec_id", "label", "distance")
+
+
+@query("k2_batch_knn", f"""WITH {E}, p AS (SELECT b.vec_id AS query_id, a.vec_id AS id, round(list_distance(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id AND b.vec_id % 20 = 0),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INTEGER AS rank FROM p) SELECT query_id, rank, id, distance FROM r WHERE rank <= 5""")
+def _(spark, d):
+    return search.batch_knn(vectors(spark, d), vectors(spark, d).where("vec_id % 20 = 0"), 5, "l2")
+
+
+@query("k4_post_filter", f"WITH {E}, t AS (SELECT vec_id, label, {COS} AS distance FROM e, q WHERE vec_id <> 0 ORDER BY distance, vec_id LIMIT 50) SELECT * FROM t WHERE label < 3")
+def _(spark, d):
+    return search.knn(vectors(spark, d).where("vec_id <> 0"), by_id(spark, d), 50, "cosine", F.col("label") < 3, "post").select("vec_id", "label", "distance")
+
+
+@query("k5_dot_offset", f"WITH {E} SELECT vec_id, round(-{IP}(v, q), 6) AS distance FROM e, q WHERE vec_id <> 0 ORDER BY distance, vec_id LIMIT 10 OFFSET 5")
+def _(spark, d):
+    return search.knn(vectors(spark, d).where("vec_id <> 0"), by_id(spark, d), 10, "dot", offset=5).select("vec_id", "distance")
+
+
+@query("k6_recommend", f"""WITH {E}, p AS (SELECT a.vec_id AS id, b.vec_id AS x, round(1 - {IP}(a.v, b.v) / (sqrt({IP}(a.v, a.v)) * sqrt({IP}(b.v, b.v))), 6) AS d FROM e a, e b WHERE b.vec_id IN (1, 2, 3, 9) AND a.vec_id NOT IN (1, 2, 3, 9))
+  SELECT id, min(d) FILTER (WHERE x < 9) AS distance FROM p GROUP BY id HAVING min(d) FILTER (WHERE x < 9) < min(d) FILTER (WHERE x = 9) ORDER BY distance, id LIMIT 10""")
+def _(spark, d):
+    return search.recommend(vectors(spark, d), [1, 2, 3], 10, [9])
+
+
+@query("k8_two_phase", f"WITH {E} SELECT vec_id, {L2} AS distance FROM e, q ORDER BY distance, vec_id LIMIT 10")
+def _(spark, d):
+    return search.two_phase(vectors(spark, d), by_id(spark, d), 10).select("vec_id", "distance")
+
+
+@query("k11_merge", f"""WITH {E}, p AS (SELECT a.vec_id AS id, max(round({IP}(a.v, b.v), 6)) AS score FROM e a JOIN e b ON b.vec_id IN (4, 5) AND a.vec_id NOT IN (4, 5) GROUP BY 1) SELECT id, score FROM p ORDER BY score DESC, id LIMIT 8""")
+def _(spark, d):
+    r = search.batch_knn(vectors(spark, d).where("vec_id not in (4, 5)"), vectors(spark, d).where("vec_id in (4, 5)"), 20, "dot")
+    return search.merge(r.select("id", (-F.col("distance")).alias("score")), 8).select("id", "score")
+
+
+@query("k12_range", f"WITH {E} SELECT vec_id, {L2} AS distance FROM e, q WHERE {L2} <= 1.2")
+def _(spark, d):
+    return search.within(vectors(spark, d), by_id(spark, d), 1.2).select("vec_id", "distance")
+
+
+@query("k13_threshold", f"WITH {E} SELECT vec_id, round(1 - {COS}, 6) AS similarity FROM e, q WHERE vec_id <> 0 AND round(1 - {COS}, 6) >= 0.2")
+def _(spark, d):
+    return search.similar(vectors(spark, d).where("vec_id <> 0"), by_id(spark, d), 0.2).select("vec_id", "similarity")
+
+
+@query("k16_lsh_recall")
+def _(spark, d):
+    e, q = vectors(spark, d), vectors(spark, d).where("vec_id % 10 = 0")
+    exact = search.batch_knn(e, q, 10)
+    found = search.rerank(search.lsh_candidates(e, q, tables=12, bits=5), e, q, 10)
+    return search.recall(found, exact, 10)
+
+
+@query("k17_ivf_recall")
+def _(spark, d):
+    e, q = vectors(spark, d), vectors(spark, d).where("vec_id % 10 = 0")
+    found = search.rerank(search.ivf_candidates(e, q, cells=16, probes=8), e, q, 10)
+    return search.recall(found, search.batch_knn(e, q, 10), 10)
+
+
+@query("k18_dual_metric", f"WITH {E} SELECT vec_id, round((list_distance(v, q) + 1 - {IP}(v, q) / (sqrt({IP}(v, v)) * sqrt({IP}(q, q)))) / 2, 6) AS distance FROM e, q WHERE vec_id <> 0 ORDER BY distance, vec_id LIMIT 10")
+def _(spark, d):
+    return search.dual_metric(vectors(spark, d).where("vec_id <> 0"), by_id(spark, d), 10).select("vec_id", "distance")
+
+
+@query("k19_hybrid", f"WITH {E}, s AS (SELECT vec_id, round(0.7 * (1 - {COS}) + 0.3 * (label / 9), 6) AS score FROM e, q WHERE vec_id <> 0 AND label > 0) SELECT * FROM s ORDER BY score DESC, vec_id LIMIT 10")
+def _(spark, d):
+    r = search.measured(vectors(spark, d).where("vec_id <> 0 and label > 0"), by_id(spark, d))
+    return r.select("vec_id", F.round(0.7 * (1 - F.col("distance")) + 0.3 * (F.col("label") / 9), 6).alias("score")).orderBy(F.col("score").desc(), "vec_id").limit(10)
+
+
+@query("k22_semi_join", f"WITH {E} SELECT vec_id, {COS} AS distance FROM e, q WHERE vec_id <> 0 AND vec_id IN (SELECT doc_id FROM labels WHERE quality = 1) ORDER BY distance, vec_id LIMIT 10")
+def _(spark, d):
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("vec_id"))
+    return search.knn(vectors(spark, d).where("vec_id <> 0").join(good, "vec_id", "left_semi"), by_id(spark, d), 10).select("vec_id", "distance")
+
+
+# -- scoring --------------------------------------------------------------------------------------------------------
+
+
+def _results(spark, d, k: int = 20, metric: str = "l2") -> DataFrame:
+    r = search.batch_knn(vectors(spark, d), vectors(spark, d).where("vec_id < 10"), k, metric).drop("rank")
+    return r.withColumn("size", F.col("id") * 5000).withColumn("modified", F.lit(scoring.NOW) - F.col("id") * scoring.DAY)
+
+
+R = f"""{E}, p AS (SELECT b.vec_id AS query_id, a.vec_id AS id, round(list_distance(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id AND b.vec_id < 10),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS n FROM p) WHERE n <= 20),
+  m AS (SELECT query_id, id, distance, id * 5000 AS size, id AS days, (CASE WHEN id < 30 THEN 1.0::DOUBLE WHEN id < 365 THEN 0.8 ELSE 0.6 END + CASE WHEN id * 5000 > 1000000 THEN 0.9::DOUBLE WHEN id * 5000 > 100000 THEN 0.8 ELSE 0.7 END + 1.0::DOUBLE) / 3 AS meta FROM k),
+  z AS (SELECT *, (distance - avg(distance) OVER w) / stddev_pop(distance) OVER w AS z FROM m WINDOW w AS (PARTITION BY query_id)),
+  c AS (SELECT *, least(1, greatest(0, 0.8::DOUBLE / (1 + exp(-z)) + 0.2::DOUBLE * meta)) AS conf FROM z),
+  s AS (SELECT query_id, id, distance, size, days, round(conf, 6) AS confidence, round(least(1, greatest(0, 0.6::DOUBLE / (1 + distance) + 0.3::DOUBLE * conf + 0.1::DOUBLE * meta)), 6) AS score FROM c)"""
+
+
+def _scored(spark, d) -> DataFrame:
+    return scoring.scored(_results(spark, d), scoring.metadata_confidence(F.col("modified"), F.col("size"), F.lit("float32")))
+
+
+@query("r_scored", f"""WITH {R} SELECT query_id, id, confidence, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank,
+  round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 1 END, 6) AS normalized FROM s WINDOW w AS (PARTITION BY query_id)""")
+def _(spark, d):
+    return _scored(spark, d).select("query_id", "id", "confidence", "score", "rank", "normalized")
+
+
+@query("r7_diversity")
+def _(spark, d):
+    return scoring.diverse(_scored(spark, d), 0.99)
+
+
+@query("r8_flags", f"""WITH {R} SELECT query_id, id, ((confidence > 0.8)::INT + 2 * (distance < 0.1)::INT + 4 * (days < 7)::INT + 8 * (size > 1000000)::INT + 16 * (distance > 2)::INT)::INTEGER AS flags FROM s""")
+def _(spark, d):
+    return _scored(spark, d).select("query_id", "id", scoring.quality_flags(F.col("confidence"), F.col("distance"), F.col("modified"), F.col("size")).alias("flags"))
+
+
+@query("r9_quality", f"""WITH {R} SELECT query_id, round(avg(distance), 6) AS avg_distance, round(stddev_pop(distance), 6) AS sd_distance, round(avg(confidence), 6) AS avg_confidence, count(*) FILTER (WHERE confidence > 0.8) AS confident,
+  round(stddev_pop(distance) / (avg(distance) + 1e-10), 6) AS diversity, round((max(distance) - min(distance)) / max(distance), 6) AS coverage FROM s GROUP BY query_id""")
+def _(spark, d):
+    return scoring.quality(_scored(spark, d))
+
+
+F_LISTS = f"""{E}, p AS (SELECT b.vec_id AS list, a.vec_id AS id, round(list_distance(a.v, b.v), 6) AS distance FROM e a JOIN e b ON a.vec_id <> b.vec_id AND b.vec_id < 10),
+  k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY list ORDER BY distance, id) AS rank FROM p) WHERE rank <= 20)"""
+
+
+def _lists(spark, d) -> DataFrame:
+    return search.batch_knn(vectors(spark, d), vectors(spark, d).where("vec_id < 10"), 20, "l2").select(F.col("query_id").alias("list"), "id", "rank")
+
+
+@query("r10_rrf", f"WITH {F_LISTS}, s AS (SELECT id, round(sum(1::DOUBLE / (60 + rank)), 6) AS score FROM k GROUP BY id) SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM s")
+def _(spark, d):
+    return scoring.fuse(_lists(spark, d))
+
+
+@query("r11_borda", f"WITH {F_LISTS}, s AS (SELECT id, sum(20 - rank + 1)::DOUBLE AS score FROM k GROUP BY id) SELECT id, score, row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank FROM s")
+def _(spark, d):
+    return scoring.fuse(_lists(spark, d), "borda")
+
+
+# -- graphs ---------------------------------------------------------------------------------------------------------
+
+TREE = """edges AS (SELECT r_regionkey::BIGINT AS src, 100 + n_nationkey::BIGINT AS dst, 1 AS weight, 'region' AS type FROM region JOIN nation ON n_regionkey = r_regionkey
+  UNION ALL SELECT 100 + c_nationkey::BIGINT, 1000 + c_custkey, 2, 'customer' FROM customer UNION ALL SELECT 100 + s_nationkey::BIGINT, 100000000 + s_suppkey, 3, 'supplier' FROM supplier)"""
+
+
+def tree(spark, d) -> DataFrame:
+    """region -> nation -> customer and supplier."""
+    nation = table(spark, d, "nation").selectExpr("cast(n_regionkey as long) as src", "100L + n_nationkey as dst", "1 as weight", "'region' as type")
+    customer = table(spark, d, "customer").selectExpr("100L + c_nationkey as src", "1000L + c_custkey as dst", "2 as weight", "'customer' as type")
+    supplier = table(spark, d, "supplier").selectExpr("100L + s_nationkey as src", "100000000L + s_suppkey as dst", "3 as weight", "'supplier' as type")
+    return nation.unionAll(customer).unionAll(supplier)
+
+
+def ids(spark, *keys: int) -> DataFrame:
+    return spark.createDataFrame([(k,) for k in keys], "id long")
+
+
+TRADE = """trade AS (SELECT c.c_nationkey::BIGINT AS src, s.s_nationkey::BIGINT AS dst, count(*) AS n FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+  JOIN supplier s ON s.s_suppkey = l.l_suppkey WHERE c.c_nationkey <> s.s_nationkey GROUP BY 1, 2), edges AS (SELECT src, dst, n AS weight, CASE WHEN (src + dst) % 2 = 0 THEN 'even' ELSE 'odd' END AS type FROM trade WHERE (src * 7 + dst * 3) % 5 = 0)"""
+
+
+def trade(spark, d) -> DataFrame:
+    """How many items customers of one nation bought from suppliers of another, on a fixed share of the pairs."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(table(spark, d, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey").join(table(spark, d, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    e = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).where("c_nationkey <> s_nationkey").groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).agg(F.count("*").alias("weight"))
+    return e.where("(src * 7 + dst * 3) % 5 = 0").withColumn("type", F.when((F.col("src") + F.col("dst")) % 2 == 0, "even").otherwise("odd"))
+
+
+@query("g2_edges_by_type", f"WITH {TREE} SELECT type, count(*) AS n FROM edges GROUP BY type")
+def _(spark, d):
+    return tree(spark, d).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query("g4_bfs", f"WITH RECURSIVE {TREE}, b AS (SELECT 1::BIGINT AS id, 0 AS depth, 0::DOUBLE AS weight UNION ALL SELECT e.dst, b.depth + 1, b.weight + e.weight FROM b JOIN edges e ON e.src = b.id WHERE b.depth < 2 AND e.type <> 'supplier') SELECT id, depth, weight FROM b")
+def _(spark, d):
+    return graph.bfs(tree(spark, d), ids(spark, 1), 2, F.col("type") != "supplier").select("id", "depth", "weight")
+
+
+@query("g8_k_hop", f"""WITH RECURSIVE {TREE}, both_ AS (SELECT src, dst FROM edges UNION ALL SELECT dst, src FROM edges), b AS (SELECT 103::BIGINT AS id, 0 AS depth UNION SELECT e.dst, b.depth + 1 FROM b JOIN both_ e ON e.src = b.id WHERE b.depth < 3)
+  SELECT id, min(depth) AS depth FROM b GROUP BY id""")
+def _(spark, d):
+    return graph.k_hop(tree(spark, d), ids(spark, 103), 3)
+
+
+@query("g6_shortest_paths", f"WITH RECURSIVE {TRADE}, b AS (SELECT 0::BIGINT AS id, 0 AS n, 0::DOUBLE AS w UNION SELECT e.dst, b.n + 1, b.w + e.weight FROM b JOIN edges e ON e.src = b.id WHERE b.n < 5) SELECT id, min(w) AS distance FROM b GROUP BY id")
+def _(spark, d):
+    return graph.shortest_paths(trade(spark, d), ids(spark, 0), 5)
+
+
+@query("g7_topological_levels", f"WITH RECURSIVE {TREE}, b AS (SELECT DISTINCT src AS id, 0 AS level FROM edges WHERE src NOT IN (SELECT dst FROM edges) UNION ALL SELECT e.dst, b.level + 1 FROM b JOIN edges e ON e.src = b.id) SELECT id, max(level) AS level FROM b GROUP BY id")
+def _(spark, d):
+    return graph.topological_levels(tree(spark, d))
+
+
+@query("g18_degrees", f"WITH {TRADE} SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges) GROUP BY id")
+def _(spark, d):
+    return graph.degrees(trade(spark, d))
+
+
+@query("g17_density", f"WITH {TRADE}, n AS (SELECT type, count(DISTINCT id) AS nodes FROM (SELECT type, src AS id FROM edges UNION ALL SELECT type, dst FROM edges) GROUP BY type), c AS (SELECT type, count(*) AS edges FROM edges GROUP BY type) SELECT type, edges, nodes, round(edges / (nodes * (nodes - 1)), 6) AS density FROM n JOIN c USING (type)")
+def _(spark, d):
+    return graph.density(trade(spark, d))
+
+
+@query("g19_components", f"WITH {TREE} SELECT CASE WHEN id < 100 THEN id WHEN id < 1000 THEN n.n_regionkey WHEN id < 100000000 THEN cn.n_regionkey ELSE sn.n_regionkey END::BIGINT AS component, count(*) AS nodes FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges) LEFT JOIN nation n ON n.n_nationkey = id - 100 LEFT JOIN customer c ON c.c_custkey = id - 1000 AND id < 100000000 LEFT JOIN nation cn ON cn.n_nationkey = c.c_nationkey LEFT JOIN supplier s ON s.s_suppkey = id - 100000000 LEFT JOIN nation sn ON sn.n_nationkey = s.s_nationkey GROUP BY 1")
+def _(spark, d):
+    return components.connected_components(tree(spark, d)).groupBy("component").agg(F.count("*").alias("nodes"))
+
+
+@query("g19_clustering", f"""WITH {TRADE}, u AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges), n AS (SELECT a AS id, b AS x FROM u UNION ALL SELECT b, a FROM u), dg AS (SELECT id, count(*) AS d FROM n GROUP BY id),
+  t AS (SELECT p.id, count(*) AS t FROM n p JOIN n q ON p.id = q.id AND p.x < q.x JOIN u ON u.a = p.x AND u.b = q.x GROUP BY p.id) SELECT id, coalesce(t, 0) AS triangles, round(CASE WHEN d > 1 THEN 2 * coalesce(t, 0) / (d * (d - 1)) ELSE 0 END, 6) AS coefficient FROM dg LEFT JOIN t USING (id)""")
+def _(spark, d):
+    return graph.clustering(trade(spark, d))
+
+
+def _pagerank_sql(rounds: int) -> str:
+    steps = "".join(
+        f""", r{i + 1} AS MATERIALIZED (SELECT i.id, 0.15::DOUBLE / c.n + 0.85::DOUBLE * (coalesce((SELECT sum(r.rank / o.n) FROM u JOIN o ON o.src = u.src JOIN r{i} r ON r.id = u.src WHERE u.dst = i.id), 0) + coalesce((SELECT sum(rank) FROM r{i} WHERE id NOT IN (SELECT src FROM o)), 0) / c.n) AS rank FROM i, c)"""
+        for i in range(rounds)
+    )
+    return f"""WITH {TRADE}, u AS (SELECT DISTINCT src, dst FROM edges), o AS (SELECT src, count(*) AS n FROM u GROUP BY src), i AS (SELECT src AS id FROM u UNION SELECT dst FROM u), c AS (SELECT count(*) AS n FROM i), r0 AS (SELECT id, 1::DOUBLE / n AS rank FROM i, c){steps} SELECT id, round(rank, 6) AS rank FROM r{rounds}"""
+
+
+@query("g20_pagerank", _pagerank_sql(5))
+def _(spark, d):
+    return graph.pagerank(trade(spark, d), 5).select("id", F.round("rank", 6).alias("rank"))
+
+
+@query("g16_communities")
+def _(spark, d):
+    return graph.communities(trade(spark, d), 4)
+
+
+@query("g16_modularity", f"""WITH {TRADE}, l AS (SELECT n_nationkey::BIGINT AS id, n_regionkey AS c FROM nation), x AS (SELECT a.c AS c1, b.c AS c2, weight::DOUBLE AS w FROM edges JOIN l a ON a.id = src JOIN l b ON b.id = dst), m AS (SELECT sum(w) AS m FROM x),
+  e AS (SELECT c, sum(w) AS ends FROM (SELECT c1 AS c, w FROM x UNION ALL SELECT c2, w FROM x) GROUP BY c), n AS (SELECT c1 AS c, sum(w) FILTER (WHERE c1 = c2) AS ins FROM x GROUP BY c1) SELECT round(sum(coalesce(ins, 0) / m - (ends / (2 * m)) ** 2), 6) AS modularity FROM e LEFT JOIN n USING (c), m""")
+def _(spark, d):
+    return graph.modularity(trade(spark, d), table(spark, d, "nation").selectExpr("cast(n_nationkey as long) as id", "n_regionkey as community"))
+
+
+# -- graph and vector together --------------------------------------------------------------------------------------
+
+PARTS = f"""{E}, kp AS (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_distance(a.v, b.v), 6), b.vec_id) AS n FROM e a JOIN e b ON a.vec_id <> b.vec_id),
+  edges AS (SELECT src, dst FROM kp WHERE n <= 3), b AS (SELECT 0::BIGINT AS id, 0 AS depth UNION SELECT x.dst, b.depth + 1 FROM b JOIN edges x ON x.src = b.id WHERE b.depth < 2),
+  g AS (SELECT id, 1::DOUBLE / (min(depth) + 1) AS g FROM b GROUP BY id), v AS (SELECT vec_id AS id, 1 - d AS v FROM (SELECT vec_id, {COS} AS d FROM e, q ORDER BY d, vec_id LIMIT 10))"""
+COMBINED = {
+    "intersection": "SELECT id, round((g + v) / 2, 6) AS score FROM g JOIN v USING (id)",
+    "union": "SELECT id, round(coalesce(g, v), 6) AS score FROM g FULL JOIN v USING (id)",
+    "graph_first": "SELECT id, round(0.7::DOUBLE * g + 0.3::DOUBLE * coalesce(v, 0), 6) AS score FROM g LEFT JOIN v USING (id)",
+    "vector_first": "SELECT id, round(0.7::DOUBLE * v + 0.3::DOUBLE * coalesce(g, 0), 6) AS score FROM v LEFT JOIN g USING (id)",
+    "weighted": "SELECT id, round(0.4::DOUBLE * g + 0.6::DOUBLE * v, 6) AS score FROM g JOIN v USING (id)",
+}
+
+
+def _unified(how: str) -> Query:
+    def run(spark, d):
+        e = vectors(spark, d)
+        edges = search.batch_knn(e, e, 3, "l2").select(F.col("query_id").alias("src"), F.col("id").alias("dst"), F.lit("near").alias("type"), F.lit(1.0).alias("weight"))
+        q = UnifiedQuery().from_nodes(0, depth=3).near(by_id(spark, d), 10).combined(how, 0.4, 0.6).limit(1000)
+        return q.run(e.withColumnRenamed("vec_id", "id"), edges)
+
+    return run
+
+
+for _how, _select in COMBINED.items():
+    query(f"g14_{_how}", f"WITH RECURSIVE {PARTS} {_select}")(_unified(_how))
+
+
+@query("g24_similarity_classes")
+def _(spark, d):
+    e = vectors(spark, d)
+    near = search.batch_knn(e, e, 10, "cosine").where("distance <= 0.8")
+    return components.connected_components(near.select(F.col("query_id").alias("src"), F.col("id").alias("dst")))
+
+
+@query("g28_rules", """WITH RECURSIVE f AS (SELECT 100 + n_nationkey AS a, n_regionkey::BIGINT AS b FROM nation UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey FROM customer), t AS (SELECT a, b, 1 AS n FROM f UNION SELECT t.a, f.b, t.n + 1 FROM t JOIN f ON t.b = f.a)
+  SELECT a::BIGINT AS a, b::BIGINT AS b, round(pow(0.9::DOUBLE, n - 1), 6) AS confidence FROM t""")
+def _(spark, d):
+    facts = tree(spark, d).where("type <> 'supplier'").select(F.lit("in").alias("predicate"), F.col("dst").alias("a"), F.col("src").alias("b"), F.lit(1.0).alias("confidence"))
+
+    def through(known: DataFrame) -> DataFrame:
+        x, y = known.select("a", F.col("b").alias("m"), F.col("confidence").alias("c1")), known.select(F.col("a").alias("m"), "b", F.col("confidence").alias("c2"))
+        return x.join(y, "m").select(F.lit("in").alias("predicate"), "a", "b", (F.col("c1") * F.col("c2") * 0.9).alias("confidence"))
+
+    return graph.fixpoint(facts, [through]).select("a", "b", F.round("confidence", 6).alias("confidence"))
+
+
+@query("g32_growth", """WITH s AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1) SELECT day, n, n - lag(n) OVER w AS change, round(CASE WHEN lag(n) OVER w <> 0 THEN 100 * (n - lag(n) OVER w) / lag(n) OVER w END, 6) AS percent FROM s WINDOW w AS (ORDER BY day)""")
+def _(spark, d):
+    return analytics.growth(table(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")), "day", "n")
+
+
+@query("g35_schema_check", "SELECT count(*) FILTER (WHERE p_name IS NULL) AS missing, count(*) FILTER (WHERE p_size NOT BETWEEN 1 AND 40) AS out_of_range, count(*) FILTER (WHERE NOT regexp_matches(p_brand, '^Brand#[0-9]+$')) AS bad_pattern FROM part")
+def _(spark, d):
+    return table(spark, d, "part").agg(F.count(F.when(F.col("p_name").isNull(), 1)).alias("missing"), F.count(F.when(~F.col("p_size").between(1, 40), 1)).alias("out_of_range"), F.count(F.when(~F.col("p_brand").rlike("^Brand#[0-9]+$"), 1)).alias("bad_pattern"))
+
+
+@query("g36_node_text", "SELECT p_partkey, concat('Type: part', chr(10), 'brand: ', p_brand, chr(10), 'name: ', p_name) AS text FROM part")
+def _(spark, d):
+    from tessaline.sources.tables import node_text
+
+    return table(spark, d, "part").select("p_partkey", node_text(F.lit("part"), F.create_map(F.lit("name"), "p_name", F.lit("brand"), "p_brand")).alias("text"))
+
+
+# -- joins in time, windows, analytics ------------------------------------------------------------------------------
+
+
+@query("j_as_of", "SELECT user_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE ts <= TIMESTAMP '2024-01-15') WHERE n = 1")
+def _(spark, d):
+    v = table(spark, d, "events").select("user_id", "event_id", "value", F.struct("ts", "event_id").alias("created"), F.lit(None).cast("boolean").alias("deleted"))
+    seen = v.where("created.ts <= timestamp_ntz '2024-01-15'")
+    w = Window.partitionBy("user_id").orderBy(F.col("created").desc())
+    return seen.withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "event_id", "value")
+
+
+@query("j_visible_version", "SELECT event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) AS n FROM events WHERE event_id <= 5000 AND event_id + 4000 > 5000) WHERE n = 1")
+def _(spark, d):
+    v = table(spark, d, "events").select(F.concat_ws("/", "user_id", "event_type").alias("key"), "event_id", "value", F.col("event_id").alias("created"), (F.col("event_id") + 4000).alias("deleted"))
+    return collections.as_of(v, "key", F.lit(5000)).select("event_id", "value")
+
+
+@query("a4_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) AS n FROM events), s AS (SELECT event_type, list_sort(list(value)) AS s FROM r WHERE n <= 1000 GROUP BY 1)
+  SELECT event_type, s[least(len(s) - 1, floor(len(s) * 50 / 100)::BIGINT) + 1] AS p50, s[least(len(s) - 1, floor(len(s) * 95 / 100)::BIGINT) + 1] AS p95, s[least(len(s) - 1, floor(len(s) * 99 / 100)::BIGINT) + 1] AS p99 FROM s""")
+def _(spark, d):
+    return analytics.percentiles(table(spark, d, "events"), "event_type", "value", "event_id")
+
+
+@query("a5_success_rate", "SELECT round(avg((event_type <> 'error')::INT), 6) AS success, round(avg(value), 6) AS latency FROM (SELECT * FROM events ORDER BY event_id DESC LIMIT 500)")
+def _(spark, d):
+    last = table(spark, d, "events").orderBy(F.col("event_id").desc()).limit(500)
+    return last.agg(F.round(F.avg((F.col("event_type") != "error").cast("int")), 6).alias("success"), F.round(F.avg("value"), 6).alias("latency"))
+
+
+@query("a8_search_log", """SELECT event_type, count(*) AS searches, count(*) FILTER (WHERE value < 100) AS fast, count(*) FILTER (WHERE value >= 100 AND value < 1000) AS medium, count(*) FILTER (WHERE value >= 1000) AS slow, round(avg(value), 6) AS avg_ms,
+  count(DISTINCT hour(ts)) AS hours, round(100 * count(*) / sum(count(*)) OVER (), 6) AS share FROM events GROUP BY event_type""")
+def _(spark, d):
+    return analytics.search_log(table(spark, d, "events"), "event_type", "value", "ts")
+
+
+@query("a9_norms", "SELECT label, count(*) AS n, round(avg(sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]))), 6) AS mean FROM embeddings GROUP BY label")
+def _(spark, d):
+    return vectors(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg(V.norm(V.vec("embedding"))), 6).alias("mean"))
+
+
+@query("a12_worst_status", "SELECT user_id, max(CASE event_type WHEN 'error' THEN 2 WHEN 'click' THEN 1 ELSE 0 END)::INTEGER AS status FROM events GROUP BY user_id")
+def _(spark, d):
+    return table(spark, d, "events").groupBy("user_id").agg(F.max(F.when(F.col("event_type") == "error", 2).when(F.col("event_type") == "click", 1).otherwise(0)).alias("status"))
+
+
+@query("w5_cooccurrence", """WITH x AS (SELECT event_type AS a, unnest([lead(event_type, 1) OVER w, lead(event_type, 2) OVER w, lead(event_type, 3) OVER w, lead(event_type, 4) OVER w]) AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+  SELECT least(a, b) AS a, greatest(a, b) AS b, count(*) AS n FROM x WHERE b IS NOT NULL AND a <> b GROUP BY 1, 2""")
+def _(spark, d):
+    return analytics.cooccurrence(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("w5_sequences", "SELECT DISTINCT x, y, z FROM (SELECT lag(event_type, 2) OVER w AS x, lag(event_type) OVER w AS y, event_type AS z FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE x IS NOT NULL")
+def _(spark, d):
+    return analytics.sequences(table(spark, d, "events"), "user_id", ["ts", "event_id"], "event_type")
+
+
+@query("ts5_tumbling", "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def _(spark, d):
+    return table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+@query("ts5_sessions", """WITH f AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM f) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, s""")
+def _(spark, d):
+    return analytics.sessions(table(spark, d, "events"), "user_id", "ts", "6 hours")
+
+
+@query("ts7_routing", "SELECT route, count(*) AS n FROM (SELECT CASE WHEN event_type = 'error' THEN 'alerts' WHEN value > 400 THEN 'large' WHEN regexp_matches(event_type, '^s') THEN 'sign' ELSE 'default' END AS route FROM events) GROUP BY route")
+def _(spark, d):
+    from tessaline.streaming.streams import routed
+
+    rules = [("alerts", F.col("event_type") == "error"), ("large", F.col("value") > 400), ("sign", F.col("event_type").rlike("^s"))]
+    return routed(table(spark, d, "events"), rules).groupBy("route").agg(F.count("*").alias("n"))
+
+
+@query("ts9_anomalies", "SELECT event_id, z FROM (SELECT event_id, round((value - avg(value) OVER w) / stddev_pop(value) OVER w, 6) AS z FROM events WINDOW w AS (PARTITION BY event_type)) WHERE abs(z) > 1.7")
+def _(spark, d):
+    return analytics.anomalies(table(spark, d, "events"), "event_type", "value", 1.7).select("event_id", "z")
