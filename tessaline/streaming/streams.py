@@ -61,6 +61,7 @@ def micro_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Run over all that is there now and return it as a table (tests, backfills)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q.processAllAvailable()
+    q.stop()
     return stream.sparkSession.table(name)
