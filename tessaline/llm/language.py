@@ -78,13 +78,13 @@ def _vector(text: str) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(text.encode(), dtype=np.uint8)
     every = np.concatenate([p for p, _ in grams(data, np.array([0, len(data)]))])
     places, times = np.unique(every, return_counts=True)
-    return places, times / max(1, len(every))
+    return places, (times / max(1, len(every))).astype(np.float32)
 
 
 def train(rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.02, epochs: int = 3) -> tuple[list[str], np.ndarray, np.ndarray, float]:
     """(languages, weights, bias, temperature) from (text, language) rows, by FTRL-proximal and temperature scaling."""
     names = sorted({x for _, x in rows})
-    vectors = [(p, v * idf[p] * SCALE) for p, v in map(_vector, (t for t, _ in rows))]
+    vectors = [(p, (v * idf[p] * SCALE).astype(np.float32)) for p, v in map(_vector, (t for t, _ in rows))]
     label = np.array([names.index(x) for _, x in rows])
     z, n = np.zeros((PLACES + 1, len(names))), np.zeros((PLACES + 1, len(names)))
 

@@ -132,6 +132,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                     "ids": K.binary_array(flat.tobytes(), offsets),
                 })
                 uid += len(doc)
+        words.clear()
 
     return rows.mapInArrow(run, PIECES)
 

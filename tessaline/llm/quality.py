@@ -171,11 +171,14 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from tessaline.llm.tokens import cache
+
         for batch in batches:
             for a, x in _measure(batch.column("text"), vocabulary):
                 n = len(x["n_words"])
                 cols = {k: pa.array(v, pa.float64() if k in ("chars_per_token", "byte_share", "entropy") else pa.int64()) for k, v in x.items() if k != "script"}
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, n), **cols, "script": pa.array([SCRIPTS[i] for i in x["script"]], pa.string())})
+        cache(vocabulary).clear()
 
     return rows.mapInArrow(run, OUT)
 

@@ -1,7 +1,7 @@
 """Token ids of words, looked up in public vocabularies, once for each distinct word.
 
-A worker keeps a bounded cache of words it has seen. The bound limits memory only: a word that is
-not in the cache is encoded again.
+A task keeps a bounded cache of words it has seen, and gives it up at its end, since idle workers stay
+in memory. The bound limits memory only: a word that is not in the cache is encoded again.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 
 from tessaline.llm.textkernel import Words, ragged, span_fingerprints
 
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 #: Stands between words that are encoded together; it is a token of its own, and words that hold it are encoded alone.
 PART = b"\x01"
 _ENCODERS: dict[str, Callable[[list[bytes]], list[list[int]]]] = {}
