@@ -92,6 +92,7 @@ def blocks(rows: DataFrame, text: str = "text", block_bytes: int = BLOCK_BYTES,
                     yield out()
         if held:
             yield out()
+        K.release()
 
     return written_by_key(rows.mapInArrow(pack, SCHEMA), label, "block_id", shuffle_width(spark))
 
@@ -103,6 +104,7 @@ def over(blocks: DataFrame, f: Callable[[int, pa.Table], Iterator[pa.RecordBatch
         for batch in batches:
             for i in range(batch.num_rows):
                 yield from f(batch.column(0)[i].as_py(), unsqueeze(batch.column(2)[i].as_buffer()))
+        K.release()
 
     return blocks.mapInArrow(run, schema)
 
@@ -113,7 +115,9 @@ def with_answers(blocks: DataFrame, answers: DataFrame, f: Callable[[int, pa.Tab
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             raise AssertionError("answers without their block")
-        return f(left.column("block_id")[0].as_py(), unsqueeze(left.column("payload")[0].as_buffer()), right)
+        out = f(left.column("block_id")[0].as_py(), unsqueeze(left.column("payload")[0].as_buffer()), right)
+        K.release()
+        return out
 
     return blocks.groupBy("block_id").cogroup(answers.groupBy("block_id")).applyInArrow(run, schema)
 

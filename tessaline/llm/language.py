@@ -70,6 +70,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     seen[places[borders[i] : borders[i + 1]]] = True
                 df += seen
             n += b - a
+    K.release()
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_pydict({"place": pa.array(np.append(some, -1), pa.int32()), "n": pa.array(np.append(df[some], n), pa.int64())})
 
@@ -146,6 +147,7 @@ def fit(training: DataFrame, per_language: int = 1000) -> dict | None:
             return
         rows.sort(key=lambda r: (K.mix(np.array([r[0]], dtype=np.int64).view(np.uint64))[0], r[1]))
         names, w, bias, temperature = train([(t, x) for _, t, x in rows], idf)
+        K.release()
         out = io.BytesIO()
         np.savez(out, w=w.astype(np.float32), bias=bias, temperature=temperature)
         yield pa.RecordBatch.from_pydict({"names": [names], "model": [out.getvalue()]})
@@ -201,6 +203,7 @@ def predict(docs: DataFrame, model: dict | None, id_col: str = "doc_id", text_co
                 scores += np.where(letters, p[np.arange(b - a), best], 0.0).tolist()
             out = [batch.column(i) for i in range(len(kept))] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
             yield pa.RecordBatch.from_arrays(out, names=[*kept, "lang_pred", "score"])
+        K.release()
 
     return rows.mapInArrow(run, (fields + ", " if fields else "") + "lang_pred string, score double")
 

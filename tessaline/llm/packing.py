@@ -133,6 +133,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 })
                 uid += len(doc)
         words.clear()
+        K.release()
 
     return rows.mapInArrow(run, PIECES)
 

@@ -179,6 +179,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
                 cols = {k: pa.array(v, pa.float64() if k in ("chars_per_token", "byte_share", "entropy") else pa.int64()) for k, v in x.items() if k != "script"}
                 yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, n), **cols, "script": pa.array([SCRIPTS[i] for i in x["script"]], pa.string())})
         cache(vocabulary).clear()
+        K.release()
 
     return rows.mapInArrow(run, OUT)
 

@@ -52,6 +52,20 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def release() -> None:
+    """Give memory back to the system at the end of a task: idle workers of earlier stages stay alive beside later ones."""
+    import ctypes
+    import gc
+
+    _POWERS.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
