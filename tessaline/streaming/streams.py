@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -11,9 +12,13 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A stream over Parquet files of the events table."""
+    """A stream over Parquet files of the events table: a folder, or one file (a stream source lists folders, so its folder is read for that name)."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
+        reader, path = reader.option("pathGlobFilter", re.sub(r"([\\*?\[\]{}])", r"\\\1", place.getName())), place.getParent().toString()
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed(stream: DataFrame, size: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -25,8 +30,12 @@ def deduplicated(stream: DataFrame, keys: list[str], late: str = "10 minutes") -
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-def debounced(stream: DataFrame, key: str, seconds: int) -> DataFrame:
-    """The first event of a key passes; later ones within the interval after it are dropped. State goes after ten intervals."""
+def debounced(stream: DataFrame, key: str, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """The first event of a key passes; later ones within the interval after it are dropped.
+
+    State goes when the watermark is ten intervals past the last event that passed: by event time, so
+    that a backfill forgets as a live stream does, and ends.
+    """
 
     def run(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,10 +50,11 @@ def debounced(stream: DataFrame, key: str, seconds: int) -> DataFrame:
             keep.append(ok)
             last = ms if ok else last
         state.update((last,))
-        state.setTimeoutDuration(10 * seconds * 1000)
+        state.setTimeoutTimestamp(max(last + 10 * seconds * 1000, state.getCurrentWatermarkMs() + 1))
         yield rows[keep][[key, "ts"]]
 
-    return stream.groupBy(key).applyInPandasWithState(run, f"{key} long, ts timestamp", "last long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    kind = stream.schema[key].dataType.simpleString()
+    return stream.withWatermark("ts", late).groupBy(key).applyInPandasWithState(run, f"`{key}` {kind}, ts timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def routed(stream: DataFrame, rules: list[tuple[str, object]], otherwise: str = "default") -> DataFrame:
@@ -60,8 +70,6 @@ def micro_batches(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run over all that is there now and return it as a table (tests, backfills)."""
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
+    """Run over all that is there now and return it as a table (tests, backfills). A query that fails raises its error here."""
+    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.table(name)
