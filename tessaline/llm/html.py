@@ -10,8 +10,9 @@ Inside the container, boilerplate by tag or class (menus, headers, footers, side
 forms, scripts, styles, reader comments) is left out. The rest is cut in blocks at block-level tags;
 character references are decoded, white space in a block becomes one space, and blocks are joined by an empty line.
 
-Votes combine before they are shuffled, and pages meet the winners by an ordinary join on the host,
-which adaptive execution splits for a host with a large share of all pages.
+Votes combine before they are shuffled. The hosts with most votes meet their path by a broadcast of at
+most `hot_hosts` rows and `HOT_BYTES` each, so pages of a hot host stay where they were read; every other
+host has less than a share of 1 / `hot_hosts` of all votes, and its pages meet the path by an ordinary join.
 
 Defined cases: a null or empty page, or one without any text, gives an empty text; a page without a url
 is of the host ''; ties between paths go to the one that sorts first; repeated rows vote as often as they
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessaline.session import ship
+from tessaline.session import ship, written
 
 # Tags and words in classes, as the HTML standard and common site templates have them.
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -204,8 +205,12 @@ class Page:
         return text if text is not None else "\n\n".join(s for s, _, _ in self.blocks)
 
 
+#: A longer host and path together are never broadcast; with `hot_hosts` this bounds the broadcast.
+HOT_BYTES = 4096
+
+
 def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """host, path: the path that wins on each host; a page's vote weighs 1 plus a little for how much text it gives."""
+    """host, path, votes: the path that wins on each host, and all votes given there; a page's vote weighs 1000, and up to 1000 more for how much text it gives."""
     ship(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,15 +223,21 @@ def host_paths(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             yield pa.RecordBatch.from_pydict({"host": pa.array([h for h, _ in votes], pa.string()), "path": pa.array([p for _, p in votes], pa.string()), "votes": pa.array(votes.values(), pa.int64())})
 
     votes = pages.select(F.col(url_col).cast("string"), F.col(html_col).cast("string")).mapInArrow(run, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
+    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"), F.sum("votes").alias("votes"))
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, path of each row."""
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", hot_hosts: int = 1000) -> DataFrame:
+    """page_id, url, text, path of each row. hot_hosts: how many hosts with most votes are broadcast; results do not depend on it."""
     ship(pages.sparkSession)
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), HOST.pattern, 1))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"))
-    joined = rows.join(host_paths(pages, url_col, html_col), "host", "left").select("page_id", "url", "html", "path")
+    winners = written(host_paths(pages, url_col, html_col), "host-paths")
+    hot = winners.where(F.octet_length("host") + F.octet_length("path") <= HOT_BYTES).orderBy(F.desc("votes"), "host").limit(hot_hosts)
+    hot = written(hot.select("host", "path").coalesce(1), "hot-hosts")
+    there = rows.join(F.broadcast(hot), "host").select("page_id", "url", "html", "path")
+    cold = rows.join(F.broadcast(hot.select("host")), "host", "left_anti")
+    cold = cold.join(winners.select("host", "path").join(F.broadcast(hot.select("host")), "host", "left_anti"), "host", "left").select("page_id", "url", "html", "path")
+    joined = there.unionAll(cold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

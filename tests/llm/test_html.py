@@ -1,6 +1,6 @@
 import re
 
-from tessaline.llm.html import Page, extract_main_text
+from tessaline.llm.html import HOT_BYTES, Page, extract_main_text
 
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; x</title><style>p{{}}</style><script>var t="</p>";</script></head><body class="home">
 <div id="cookie-notice">We use cookies. Accept them all please, all of them, for a long long while.</div>
@@ -41,3 +41,12 @@ def test_whole_table_against_its_template(spark, sf):
 
 def test_empty_table(spark):
     assert extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_hot_and_cold_hosts_read_alike(spark, sf):
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url", "html")
+    odd = [(-1, f"http://{'h' * HOT_BYTES}.example/", "<p>long host"), (-2, None, "<p>no url"), (-2, None, "<p>no url"), (-3, "http://quiet.example/", None)]
+    rows = rows.unionAll(spark.createDataFrame(odd, rows.schema))
+    read = lambda n: sorted((r.page_id, r.text, r.path or "") for r in extract_main_text(rows, hot_hosts=n).collect())
+    want = read(0)
+    assert len(want) == rows.count() and read(1) == want and read(1000) == want
