@@ -11,7 +11,8 @@ so base labels come out of the same join.
 
 Scale: templates are a fixed list (`MAX_GRAMS` bounds it), so they are broadcast, and the join shuffles
 nothing; only hits are shuffled. A text is known by 128 bits of its bytes: equal texts, however many,
-vote once and share the verdict.
+vote once and share the verdict. Verdicts, a short row for each text with any, are written before rows
+meet them: both sides of that join are then plain, so that Spark can split it where one text has many copies.
 
 Defined cases: a null or empty text has no words, no labels and score 0; repeated rows get equal
 results; an empty table gives an empty result; other columns are not read. Texts are read whole.
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.llm import textkernel as K
-from tessaline.session import ship
+from tessaline.session import ship, written
 
 #: Fixed values. (label, phrase)
 PHRASES = [
@@ -128,6 +129,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.count(base(F.col("first"))).alias("n_base"), F.min(base(F.col("first"))).alias("first_word"), F.max(base(F.col("first"))).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(base(F.col("label")))), ",").alias("base_labels"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
     )
+    found = written(found, "license-verdicts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
