@@ -13,7 +13,7 @@ from tessaline.session import table
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessaline.llm.line_dedup import line_dedup
 
-    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), sketch="minhash")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
