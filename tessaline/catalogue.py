@@ -573,9 +573,11 @@ for _how, _select in COMBINED.items():
 
 @query("g24_similarity_classes")
 def _(spark, d):
+    """The class of every row: rows are linked if their cosine similarity is over 0.8; a row without a link is alone."""
     e = vectors(spark, d)
-    near = search.batch_knn(e, e, 10, "cosine").where("distance <= 0.8")
-    return components.connected_components(near.select(F.col("query_id").alias("src"), F.col("id").alias("dst")))
+    near = search.pairs(e, e).where("id < query_id").where(1 - V.distance("cosine", F.col("v"), F.col("q")) > 0.8)
+    classes = components.connected_components(near.select(F.col("query_id").alias("src"), F.col("id").alias("dst")))
+    return e.select(F.col("vec_id").alias("node")).distinct().join(classes, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 @query("g28_rules", """WITH RECURSIVE f AS (SELECT 100 + n_nationkey AS a, n_regionkey::BIGINT AS b FROM nation UNION ALL SELECT 1000 + c_custkey, 100 + c_nationkey FROM customer), t AS (SELECT a, b, 1 AS n FROM f UNION SELECT t.a, f.b, t.n + 1 FROM t JOIN f ON t.b = f.a)
