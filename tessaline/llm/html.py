@@ -4,7 +4,8 @@
    votes for the generalised path (tags, and first classes without digits) of its best one.
 2. Spark sums the votes by host and path. Sites are built from few templates, so the path that wins on a
    host is right also for a page that, alone, would have been misread.
-3. Each page is read again by its host's winning path; a page that has no such container keeps its own best.
+3. Each page is read again by its host's winning path; a page that has no such container, or has unlinked text
+   outside of it, keeps its own best.
 
 Inside the container, boilerplate by tag or class (menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments) is left out. The rest is cut in blocks at block-level tags;
@@ -174,7 +175,7 @@ class Page:
         flush()
 
     def best(self) -> tuple[str, float]:
-        """(path, score) of the container to read: the innermost one with most of the unlinked text of the page."""
+        """(path, score) of the container to read: the innermost one with all the unlinked text of the page."""
         scores: dict[int, float] = {}
         total = 0.0
         for s, linked, around in self.blocks:
@@ -187,10 +188,9 @@ class Page:
         by_path: dict[str, float] = {}
         for c, v in scores.items():
             by_path[self.containers[c]] = by_path.get(self.containers[c], 0.0) + v
-        good = [p for p, v in by_path.items() if v >= 0.6 * total]
-        articles = [p for p in good if p.rsplit("/", 1)[1].split(".")[0] in ("article", "main")]
-        path = min(articles or good or ["/body"], key=lambda p: (-p.count("/"), p)) if (articles or good) else max(sorted(by_path), key=by_path.get)
-        return path, by_path[path]
+        good = [p for p, v in by_path.items() if v >= total]
+        path = min(good, key=lambda p: (-p.count("/"), p)) if good else ""
+        return path, by_path.get(path, 0.0)
 
     def text(self, path: str) -> str | None:
         """The text under the containers of that path; None if the page has none with text."""
@@ -198,10 +198,16 @@ class Page:
         found = [s for s, _, around in self.blocks if mine.intersection(around)]
         return "\n\n".join(found) if found else None
 
+    def worth(self, path: str) -> float:
+        """The unlinked text under the containers of that path."""
+        mine = {i for i, p in enumerate(self.containers) if p == path}
+        return sum(max(0.0, len(s) - 2.0 * linked) for s, linked, around in self.blocks if mine.intersection(around))
+
     def read(self, path: str | None) -> str:
-        text = self.text(path) if path else None
-        if text is None:
-            text = self.text(self.best()[0])
+        own, score = self.best()
+        text = self.text(path) if path and self.worth(path) >= score else None
+        if text is None and own:
+            text = self.text(own)
         return text if text is not None else "\n\n".join(s for s, _, _ in self.blocks)
 
 
