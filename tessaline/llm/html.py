@@ -11,6 +11,9 @@ Inside the container, boilerplate by tag or class (menus, headers, footers, side
 forms, scripts, styles, reader comments) is left out. The rest is cut in blocks at block-level tags;
 character references are decoded, white space in a block becomes one space, and blocks are joined by an empty line.
 
+An element that only its class or id names as boilerplate stays if it holds most of the page's unlinked text and has
+an h1, main or article of its own, as wrappers do; if nothing else is left of a page, classes and ids don't count.
+
 Votes combine before they are shuffled. The hosts with most votes meet their path by a broadcast of at
 most `hot_hosts` rows and `HOT_BYTES` each, so pages of a hot host stay where they were read; every other
 host has less than a share of 1 / `hot_hosts` of all votes, and its pages meet the path by an ordinary join.
@@ -54,6 +57,8 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Classes that say what an element has or lacks, not what it is.
+WITH = re.compile(r"(?:has|with|without|no)[-_]", re.I)
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
@@ -62,11 +67,11 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def _named(tag: str, attrs: str) -> tuple[str, bool]:
-    """(step of a generalised path, whether the element is boilerplate)."""
-    drop = tag in DROP
+def _named(tag: str, attrs: str) -> tuple[str, bool, bool]:
+    """(step of a generalised path, whether the element is boilerplate, whether its class or id says so)."""
+    drop, noisy = tag in DROP, False
     if "=" not in attrs and "hidden" not in attrs:
-        return tag, drop
+        return tag, drop, False
     step = tag
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
@@ -75,11 +80,11 @@ def _named(tag: str, attrs: str) -> tuple[str, bool]:
         elif name == "role":
             drop |= value.lower() in ROLES
         elif value:
-            parts = [p for p in re.split(r"[^A-Za-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value))]
-            drop |= any(p.lower() in NOISE for p in parts)
+            parts = [p for x in value.split() if not WITH.match(x) for p in re.split(r"[^A-Za-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", x))]
+            noisy |= any(p.lower() in NOISE for p in parts)
             if name == "class" and value.split():
                 step = f"{tag}.{re.sub(r'[0-9]+', '', value.split()[0].lower())}"
-    return step, drop and tag not in ("html", "body", "article", "main")
+    return step, drop and tag not in ("html", "body", "article", "main"), noisy
 
 
 class Page:
@@ -88,7 +93,9 @@ class Page:
     def __init__(self, source: str):
         self.containers: list[str] = []
         self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
-        stack: list[tuple[str, str, bool, int]] = []
+        stack: list[tuple[str, str, bool, int, int]] = []
+        wraps: list[bool] = []  # of each element with a class or id of boilerplate, whether it has an h1, main or article of its own
+        found: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
         text: list[str] = []
         linked = at = 0
         link = drop = 0
@@ -98,7 +105,7 @@ class Page:
             if text:
                 joined = " ".join("".join(text).split())
                 if joined and not drop:
-                    self.blocks.append((joined, min(linked, len(joined)), tuple(x[3] for x in stack if x[3] >= 0)))
+                    found.append((joined, min(linked, len(joined)), tuple(x[3] for x in stack if x[3] >= 0), tuple(x[4] for x in stack if x[4] >= 0)))
                 text.clear()
             linked = 0
 
@@ -112,7 +119,7 @@ class Page:
 
         def pop() -> None:
             nonlocal link, drop
-            tag, _, was, _ = stack.pop()
+            tag, _, was, _, _ = stack.pop()
             link -= tag == "a"
             drop -= was
 
@@ -162,17 +169,32 @@ class Page:
                                 pop()
                             break
                         k -= 1
-            step, noise = _named(tag, m["attrs"])
-            number = -1
+            step, noise, noisy = _named(tag, m["attrs"])
+            number = named = -1
             if tag in CONTAINER and not noise and not drop:
                 number = len(self.containers)
                 above = next((self.containers[x[3]] for x in reversed(stack) if x[3] >= 0), "")
                 self.containers.append(f"{above}/{step}")
-            stack.append((tag, step, noise, number))
+            if noisy and tag not in ("html", "body", "article", "main"):
+                named = len(wraps)
+                wraps.append(False)
+            elif tag in ("h1", "main", "article") and not noisy and not noise and not drop:
+                for x in stack:
+                    if x[4] >= 0:
+                        wraps[x[4]] = True
+            stack.append((tag, step, noise, number, named))
             link += tag == "a"
             drop += noise
         say(source[at:])
         flush()
+        total, held = 0.0, [0.0] * len(wraps)
+        for s, n, _, names in found:
+            worth = max(0.0, len(s) - 2.0 * n)
+            total += worth
+            for k in names:
+                held[k] += worth
+        gone = {k for k, wrap in enumerate(wraps) if not (wrap and 2 * held[k] > total)}
+        self.blocks = [x[:3] for x in found if gone.isdisjoint(x[3])] or [x[:3] for x in found]
 
     def best(self) -> tuple[str, float]:
         """(path, score) of the container to read: the innermost one with all the unlinked text of the page."""

@@ -26,3 +26,16 @@ def test_host_path_does_not_cut_a_page(spark):
     rows.append((9, "http://h.example/9", f"<body><div class=post>short block</div><div class=story>{LEAD}</div></body>"))
     got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[9] == f"short block\n\n{LEAD.strip()}" and got[0] == REST.strip()
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><div class='content has-sidebar'><p>{LEAD}</p><p>{REST}</p></div><div class=sidebar>Side</div></body>",
+    f"<body><div id=page class=nav-fixed><article><p>{LEAD}</p><p>{REST}</p></article><div class=comments>Nice</div></div></body>",
+    f"<body><div class=share-layout><p>{LEAD}</p><p>{REST}</p></div></body>",
+])
+def test_wrappers_with_a_boilerplate_word_keep_the_article(page):
+    assert Page(page).read(None) == f"{LEAD.strip()}\n\n{REST.strip()}"
+
+
+def test_long_comments_of_a_short_page_stay_out():
+    assert Page(f"<body><article><h1>T</h1><p>Short</p></article><div class=comments><article class=comment>{REST}</article></div></body>").read(None) == "T\n\nShort"
