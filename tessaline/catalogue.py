@@ -385,8 +385,8 @@ def _(spark, d):
 # -- scoring --------------------------------------------------------------------------------------------------------
 
 
-def _results(spark, d, k: int = 20, metric: str = "l2") -> DataFrame:
-    r = search.batch_knn(vectors(spark, d), vectors(spark, d).where("vec_id < 10"), k, metric).drop("rank")
+def _results(spark, d, k: int = 20, metric: str = "l2", queries: str = "vec_id < 10") -> DataFrame:
+    r = search.batch_knn(vectors(spark, d), vectors(spark, d).where(queries), k, metric).drop("rank")
     return r.withColumn("size", F.col("id") * 5000).withColumn("modified", F.lit(scoring.NOW) - F.col("id") * scoring.DAY)
 
 
@@ -398,8 +398,8 @@ R = f"""{E}, p AS (SELECT b.vec_id AS query_id, a.vec_id AS id, round(list_dista
   s AS (SELECT query_id, id, distance, size, days, round(conf, 6) AS confidence, round(least(1, greatest(0, 0.6::DOUBLE / (1 + distance) + 0.3::DOUBLE * conf + 0.1::DOUBLE * meta)), 6) AS score FROM c)"""
 
 
-def _scored(spark, d) -> DataFrame:
-    return scoring.scored(_results(spark, d), scoring.metadata_confidence(F.col("modified"), F.col("size"), F.lit("float32")))
+def _scored(spark, d, queries: str = "vec_id < 10") -> DataFrame:
+    return scoring.scored(_results(spark, d, queries=queries), scoring.metadata_confidence(F.col("modified"), F.col("size"), F.lit("float32")))
 
 
 @query("r_scored", f"""WITH {R} SELECT query_id, id, confidence, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id)::INTEGER AS rank,
@@ -410,7 +410,7 @@ def _(spark, d):
 
 @query("r7_diversity")
 def _(spark, d):
-    return scoring.diverse(_scored(spark, d), 0.99)
+    return scoring.diverse(_scored(spark, d, "vec_id % 20 = 0"), 0.99)
 
 
 @query("r8_flags", f"""WITH {R} SELECT query_id, id, ((confidence > 0.8)::INT + 2 * (distance < 0.1)::INT + 4 * (days < 7)::INT + 8 * (size > 1000000)::INT + 16 * (distance > 2)::INT)::INTEGER AS flags FROM s""")
