@@ -18,6 +18,8 @@ Votes combine before they are shuffled. The hosts with most votes meet their pat
 most `hot_hosts` rows and `HOT_BYTES` each, so pages of a hot host stay where they were read; every other
 host has less than a share of 1 / `hot_hosts` of all votes, and its pages meet the path by an ordinary join.
 
+A page costs time and memory in proportion to its length, whatever its markup: see `tokens` and `Page`.
+
 Defined cases: a null or empty page, or one without any text, gives an empty text; a page without a url
 is of the host ''; ties between paths go to the one that sorts first; repeated rows vote as often as they
 stand there and get equal results; an empty table gives an empty result; other columns are not read.
@@ -48,15 +50,15 @@ NOISE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # End tags that HTML lets authors leave out: a tag closes an open one of its set.
+HOLDS = ("ul", "ol", "dl", "table", "tbody", "menu", "div", "article", "section", "select")
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    rf"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
-PART = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW.split("|")}
+TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+#: The rest of a tag, quoted values whole. Nothing here is tried twice, so a tag costs no more than its length.
+REST = re.compile(r"(?>[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[\"'=])*+>")
+ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+NAMES = frozenset(("class", "id", "role", "hidden", "aria-hidden"))
 #: Classes that say what an element has or lacks, not what it is.
 WITH = re.compile(r"(?:has|with|without|no)[-_]", re.I)
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -75,6 +77,8 @@ def _named(tag: str, attrs: str) -> tuple[str, bool, bool]:
     step = tag
     for m in ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name not in NAMES:
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true":
             drop = True
         elif name == "role":
@@ -87,15 +91,71 @@ def _named(tag: str, attrs: str) -> tuple[str, bool, bool]:
     return step, drop and tag not in ("html", "body", "article", "main"), noisy
 
 
+def tokens(source: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, tag, whether it is an end tag, attributes) of each piece of markup; tag is empty for what is to be skipped, "![" for CDATA.
+
+    Linear in the page: a quote that is not closed, so that its tag never ends, is read as a plain character from
+    there on, and what is not found once is not looked for again.
+    """
+    at, strict, cdata, n = 0, True, True, len(source)
+    while (at := source.find("<", at)) >= 0:
+        if source.startswith("<!--", at):
+            end = source.find("-->", at + 4)
+            end = n if end < 0 else end + 3
+            yield at, end, "", False, ""
+        elif cdata and source.startswith("<![CDATA[", at):
+            end = source.find("]]>", at)
+            if end < 0:
+                cdata = False
+                continue
+            end += 3
+            yield at, end, "![", False, ""
+        elif source.startswith(("<!", "<?"), at):
+            end = source.find(">", at) + 1
+            if not end:
+                return
+            yield at, end, "", False, ""
+        elif (m := TAG.match(source, at)) is not None:
+            rest = REST.match(source, m.end()) if strict else None
+            if rest is None:
+                strict = False
+                end = source.find(">", m.end()) + 1
+                if not end:
+                    return
+            else:
+                end = rest.end()
+            tag, closes = m[1].lower(), source[at + 1] == "/"
+            if tag in RAW_END and not closes:
+                stop = RAW_END[tag].search(source, end)
+                end = stop.end() if stop else n
+                tag = ""
+            yield at, end, tag, closes, source[m.end() : end - 1] if tag else ""
+        else:
+            at += 1
+            continue
+        at = end
+
+
 class Page:
-    """Blocks of text in page order, each with the containers around it."""
+    """Blocks of text in page order, each with the innermost container around it.
+
+    A container knows its parent and the number of its path; paths are a tree of steps, so that a page of any
+    depth takes memory in proportion to its length.
+    """
 
     def __init__(self, source: str):
-        self.containers: list[str] = []
-        self.blocks: list[tuple[str, int, tuple[int, ...]]] = []
-        stack: list[tuple[str, str, bool, int, int]] = []
-        wraps: list[bool] = []  # of each element with a class or id of boilerplate, whether it has an h1, main or article of its own
-        found: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+        self.parent: list[int] = []  # of each container
+        self.path: list[int] = []
+        self.steps: list[tuple[int, str]] = [(-1, "")]  # of each path: the path above it, and its last step
+        self.known: dict[tuple[int, str], int] = {}
+        stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, container, named
+        places: dict[str, list[int]] = {}  # of each open tag
+        blocks: list[int] = []  # places of open blocks
+        around: list[int] = []  # open containers
+        names: list[int] = []  # open elements with a class or id of boilerplate
+        wraps: list[bool] = []  # of each of those, whether it has an h1, main or article of its own
+        above: list[int] = []  # of each of those, the one around it
+        found: list[tuple[str, int, int, int]] = []
         text: list[str] = []
         linked = at = 0
         link = drop = 0
@@ -105,7 +165,7 @@ class Page:
             if text:
                 joined = " ".join("".join(text).split())
                 if joined and not drop:
-                    found.append((joined, min(linked, len(joined)), tuple(x[3] for x in stack if x[3] >= 0), tuple(x[4] for x in stack if x[4] >= 0)))
+                    found.append((joined, min(linked, len(joined)), around[-1] if around else -1, names[-1] if names else -1))
                 text.clear()
             linked = 0
 
@@ -117,119 +177,147 @@ class Page:
                 if link:
                     linked += len(s.strip())
 
-        def pop() -> None:
+        def close(k: int) -> None:
+            """Ends all elements from place k of the stack on."""
             nonlocal link, drop
-            tag, _, was, _, _ = stack.pop()
-            link -= tag == "a"
-            drop -= was
-
-        for m in TOKEN.finditer(source):
-            say(source[at : m.start()])
-            at = m.end()
-            tag = m["tag"]
+            while len(stack) > k:
+                tag, dropped, container, named = stack.pop()
+                places[tag].pop()
+                if tag in BLOCK:
+                    blocks.pop()
+                link -= tag == "a"
+                drop -= dropped
+                if container:
+                    around.pop()
+                if named:
+                    names.pop()
+
+        last = lambda tag: places[tag][-1] if places.get(tag) else -1
+        for begin, end, tag, closes, attrs in tokens(source):
+            say(source[at:begin])
+            at = end
             if not tag:
-                if m["raw"] or m[0].startswith("<!--"):
-                    continue
-                if m[0].startswith("<![CDATA["):
-                    say(entities.escape(m[0][9:-3]))
                 continue
-            tag = tag.lower()
+            if tag == "![":
+                say(entities.escape(source[begin + 9 : end - 3]))
+                continue
             block = tag in BLOCK
             if block:
                 flush()
             elif tag == "br":
                 text.append(" ")
-            if m["end"]:
-                if any(x[0] == tag for x in stack):
-                    if not block and not (tag == "a"):
-                        # an inline end tag closes nothing beyond the block it stands in
-                        k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag or stack[i][0] in BLOCK), -1)
-                        if k >= 0 and stack[k][0] == tag:
-                            while len(stack) > k:
-                                pop()
-                        continue
-                    while stack[-1][0] != tag:
-                        pop()
-                    pop()
+            if closes:
+                # an inline end tag but </a> closes nothing beyond the block it stands in
+                k = last(tag)
+                if k >= 0 and (block or tag == "a" or not blocks or k > blocks[-1]):
+                    close(k)
                 continue
-            if tag in VOID or m["attrs"].endswith("/") and not block:
+            if tag in VOID or attrs.endswith("/") and not block:
                 continue
             if block:  # a new block ends an open paragraph, and open items of its kind
-                k = len(stack)
-                while k and stack[k - 1][0] not in BLOCK:
-                    k -= 1
-                if k and stack[k - 1][0] == "p":
-                    while len(stack) >= k:
-                        pop()
+                if blocks and stack[blocks[-1]][0] == "p":
+                    close(blocks[-1])
                 if tag in CLOSES:
-                    k = len(stack) - 1
-                    while k >= 0 and stack[k][0] not in ("ul", "ol", "dl", "table", "tbody", "menu", "div", "article", "section", "select"):
-                        if stack[k][0] in CLOSES[tag]:
-                            while len(stack) > k:
-                                pop()
-                            break
-                        k -= 1
-            step, noise, noisy = _named(tag, m["attrs"])
-            number = named = -1
-            if tag in CONTAINER and not noise and not drop:
-                number = len(self.containers)
-                above = next((self.containers[x[3]] for x in reversed(stack) if x[3] >= 0), "")
-                self.containers.append(f"{above}/{step}")
-            if noisy and tag not in ("html", "body", "article", "main"):
-                named = len(wraps)
+                    k = max(last(x) for x in CLOSES[tag])
+                    if k > max(last(x) for x in HOLDS):
+                        close(k)
+            step, noise, noisy = _named(tag, attrs)
+            container = tag in CONTAINER and not noise and not drop
+            if container:
+                over = self.path[around[-1]] if around else 0
+                if (over, step) not in self.known:
+                    self.known[over, step] = len(self.steps)
+                    self.steps.append((over, step))
+                self.parent.append(around[-1] if around else -1)
+                self.path.append(self.known[over, step])
+                around.append(len(self.parent) - 1)
+            named = noisy and tag not in ("html", "body", "article", "main")
+            if named:
+                above.append(names[-1] if names else -1)
+                names.append(len(wraps))
                 wraps.append(False)
             elif tag in ("h1", "main", "article") and not noisy and not noise and not drop:
-                for x in stack:
-                    if x[4] >= 0:
-                        wraps[x[4]] = True
-            stack.append((tag, step, noise, number, named))
+                k = names[-1] if names else -1
+                while k >= 0 and not wraps[k]:  # those around one that has it have it already
+                    wraps[k] = True
+                    k = above[k]
+            places.setdefault(tag, []).append(len(stack))
+            if block:
+                blocks.append(len(stack))
+            stack.append((tag, noise, container, named))
             link += tag == "a"
             drop += noise
         say(source[at:])
         flush()
-        total, held = 0.0, [0.0] * len(wraps)
-        for s, n, _, names in found:
-            worth = max(0.0, len(s) - 2.0 * n)
+        total, held = 0, [0] * len(wraps)
+        for s, n, _, k in found:
+            worth = max(0, len(s) - 2 * n)
             total += worth
-            for k in names:
+            if k >= 0:
                 held[k] += worth
-        gone = {k for k, wrap in enumerate(wraps) if not (wrap and 2 * held[k] > total)}
-        self.blocks = [x[:3] for x in found if gone.isdisjoint(x[3])] or [x[:3] for x in found]
-
-    def best(self) -> tuple[str, float]:
-        """(path, score) of the container to read: the innermost one with all the unlinked text of the page."""
-        scores: dict[int, float] = {}
-        total = 0.0
-        for s, linked, around in self.blocks:
-            worth = max(0.0, len(s) - 2.0 * linked)
+        for k in range(len(held) - 1, -1, -1):
+            if above[k] >= 0:
+                held[above[k]] += held[k]
+        gone = []  # whether an element or one around it is boilerplate; the outer ones stand first
+        for k, wrap in enumerate(wraps):
+            gone.append(not (wrap and 2 * held[k] > total) or above[k] >= 0 and gone[above[k]])
+        #: (text, how much of it is linked, innermost container) of each block that stays
+        self.blocks = [x[:3] for x in found if x[3] < 0 or not gone[x[3]]] or [x[:3] for x in found]
+
+    def scores(self) -> tuple[int, dict[int, int]]:
+        """The unlinked text of the page, and of all containers of each path."""
+        held = [0] * len(self.parent)
+        total = 0
+        for s, linked, c in self.blocks:
+            worth = max(0, len(s) - 2 * linked)
             total += worth
-            for c in around:
-                scores[c] = scores.get(c, 0.0) + worth
-        if not total or not scores:
-            return "", 0.0
-        by_path: dict[str, float] = {}
-        for c, v in scores.items():
-            by_path[self.containers[c]] = by_path.get(self.containers[c], 0.0) + v
-        good = [p for p, v in by_path.items() if v >= total]
-        path = min(good, key=lambda p: (-p.count("/"), p)) if good else ""
-        return path, by_path.get(path, 0.0)
-
-    def text(self, path: str) -> str | None:
+            if c >= 0:
+                held[c] += worth
+        by_path: dict[int, int] = {}
+        for c in range(len(held) - 1, -1, -1):
+            if self.parent[c] >= 0:
+                held[self.parent[c]] += held[c]
+            by_path[self.path[c]] = by_path.get(self.path[c], 0) + held[c]
+        return total, by_path
+
+    def best(self) -> tuple[str, int]:
+        """(path, score) of the container to read: the innermost one with all the unlinked text of the page."""
+        total, by_path = self.scores()
+        # a path stands after the one above it, so the last one is the innermost
+        path = max((p for p, v in by_path.items() if total and v >= total), default=0)
+        return self.written(path), by_path.get(path, 0)
+
+    def written(self, path: int) -> str:
+        out = []
+        while path > 0:
+            path, step = self.steps[path]
+            out.append("/" + step)
+        return "".join(reversed(out))
+
+    def number(self, path: str) -> int:
+        """The number of a written path on this page, -1 if no container has it."""
+        at = 0
+        for step in path.split("/")[1:]:
+            at = self.known.get((at, step), -1)
+            if at < 0:
+                return -1
+        return at if at > 0 else -1
+
+    def text(self, path: int) -> str | None:
         """The text under the containers of that path; None if the page has none with text."""
-        mine = {i for i, p in enumerate(self.containers) if p == path}
-        found = [s for s, _, around in self.blocks if mine.intersection(around)]
+        inside: list[bool] = []
+        for c, up in enumerate(self.parent):
+            inside.append(self.path[c] == path or up >= 0 and inside[up])
+        found = [s for s, _, c in self.blocks if c >= 0 and inside[c]]
         return "\n\n".join(found) if found else None
 
-    def worth(self, path: str) -> float:
-        """The unlinked text under the containers of that path."""
-        mine = {i for i, p in enumerate(self.containers) if p == path}
-        return sum(max(0.0, len(s) - 2.0 * linked) for s, linked, around in self.blocks if mine.intersection(around))
-
     def read(self, path: str | None) -> str:
         own, score = self.best()
-        text = self.text(path) if path and self.worth(path) >= score else None
+        text = None
+        if path and (number := self.number(path)) > 0:
+            text = self.text(number) if self.scores()[1].get(number, 0) >= score else None
         if text is None and own:
-            text = self.text(own)
+            text = self.text(self.number(own))
         return text if text is not None else "\n\n".join(s for s, _, _ in self.blocks)
 
 
