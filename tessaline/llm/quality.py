@@ -1,16 +1,27 @@
 """Quality rules by tokeniser fertility.
 
 A public vocabulary says how well a text is made of known pieces: characters per token, the share of
-tokens that are single fall-back bytes, and the entropy of its tokens. Each script has its bands, and
-a text outside of one is rejected. Bands are per script because fertility is: a vocabulary learned
-mostly from Latin text spells other scripts in more tokens.
+tokens that are single fall-back bytes, and the entropy of its tokens. A text outside of a band is rejected. There
+are two kinds of bands:
+
+* Fixed ones per script, since a vocabulary learned mostly from Latin text spells other scripts in more tokens.
+* Fitted ones per language (the column `lang_col`; the script where it is null or missing), for characters per
+  token. The centre is the median over all texts of that language that pass the base rules. The mean over n
+  tokens scatters by 1 / sqrt(n), so a text's deviation is measured as (x / centre - 1) * sqrt(n), and its spread is
+  the median of that size, times 1.4826. A text is rejected beyond `reach` spreads, if it is also off by `slack` of the
+  centre or more. Medians are exact to a thousandth and not moved by a minority of bad texts. Languages of fewer
+  than `least_rows` such texts have no fitted band.
 
 Base counts that hold for any text stand beside them: characters in words, symbols, repeated lines,
 repeated three-word windows.
 
+Scale: one pass over the texts; its narrow rows are written, and medians come from histograms of a bounded number
+of bins a language. The table of bands is broadcast only if Spark finds its file small enough.
+
 Defined cases: a null or empty text has no words, all its counts are 0, and it fails (fewer than
-`min_words` words); rows are judged alone, so repeated rows get equal results; ties do not arise; an
-empty table gives an empty result; other columns are not read. Texts are read whole.
+`min_words` words); repeated rows get equal results, and count as often as they stand; a null doc_id is kept as
+it is; the median of an even number of texts is the lower one; an empty table gives an empty result; other
+columns are not read. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -19,11 +30,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessaline.llm import textkernel as K
-from tessaline.session import ship
+from tessaline.session import ship, written
 
 #: Fixed values. (script, least and most characters per token, most share of byte tokens, least entropy in bits)
 BANDS = [
@@ -44,7 +56,7 @@ RANGES = [
 ]
 SYMBOLS = b"#*$%&|<>"
 SCRIPTS = [x[0] for x in BANDS]
-OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string"
+OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_tokens long, chars_per_token double, byte_share double, entropy double, script string, language string"
 
 
 def _table(allowed: bytes) -> np.ndarray:
@@ -165,10 +177,11 @@ def _byte_ids(vocabulary: str, encoder) -> np.ndarray:
 _BYTES: dict[tuple[str, str], np.ndarray] = {}
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", lang_col: str = "lang") -> DataFrame:
     """Counts and fertility of each row; see OUT. One pass, nothing is shuffled."""
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tessaline.llm.tokens import cache
@@ -177,17 +190,43 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vo
             for a, x in _measure(batch.column("text"), vocabulary):
                 n = len(x["n_words"])
                 cols = {k: pa.array(v, pa.float64() if k in ("chars_per_token", "byte_share", "entropy") else pa.int64()) for k, v in x.items() if k != "script"}
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, n), **cols, "script": pa.array([SCRIPTS[i] for i in x["script"]], pa.string())})
+                script = pa.array([SCRIPTS[i] for i in x["script"]], pa.string())
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(a, n), **cols, "script": script, "language": pc.coalesce(batch.column("lang").slice(a, n), script)})
         cache(vocabulary).clear()
         K.release()
 
     return rows.mapInArrow(run, OUT)
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", min_words: int = 50, max_repeat_percent: int = 50, bands: list[tuple[str, float, float, float, float]] | None = None) -> DataFrame:
+def _medians(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """language, name, n: the lower median of the values of each language, to a thousandth, from a histogram."""
+    bins = rows.groupBy("language", F.round(value * 1000).cast("long").alias("bin")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("language").orderBy("bin"))
+    bins = bins.withColumn("so_far", so_far).withColumn("all", F.sum("n").over(Window.partitionBy("language")))
+    return bins.where(2 * F.col("so_far") >= F.col("all")).groupBy("language").agg((F.min("bin") / 1000).alias(name), F.first("all").alias("n"))
+
+
+def _off(centre: Column) -> Column:
+    return (F.col("chars_per_token") / centre - 1) * F.sqrt("n_tokens")
+
+
+def fitted_bands(measured: DataFrame, least_rows: int = 100) -> DataFrame:
+    """language, centre, spread: the fitted band of each language with `least_rows` measured rows or more."""
+    rows = measured.where("n_tokens > 0 and chars_per_token > 0")
+    centre = written(_medians(rows, F.col("chars_per_token"), "centre").where(F.col("n") >= least_rows).select("language", "centre"), "centres")
+    spread = _medians(rows.join(centre, "language"), F.abs(_off(F.col("centre"))), "spread").select("language", "spread")
+    return written(centre.join(spread, "language").select("language", "centre", (1.4826 * F.col("spread")).alias("spread")), "bands")
+
+
+def quality_rules(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "piece_bpe_32k.model", min_words: int = 50, max_repeat_percent: int = 50, bands: list[tuple[str, float, float, float, float]] | None = None,
+    lang_col: str = "lang", reach: float = 4.5, slack: float = 0.03, least_rows: int = 100,
+) -> DataFrame:
     """The measures of each row, base_failed, kept, and the reason it isn't kept for."""
-    m = measures(docs, id_col, text_col, vocabulary)
+    m = measures(docs, id_col, text_col, vocabulary, lang_col)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
+    m = written(m.withColumn("base_failed", failed), "measures")
+    m = m.join(fitted_bands(m.where("not base_failed"), least_rows), "language", "left")
     outside = F.lit(None).cast("string")
     for script, low, high, share, bits in bands or BANDS:
         why = (
@@ -197,4 +236,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             .when(F.col("entropy") < bits, "token entropy")
         )
         outside = F.when(F.col("script") == script, why).otherwise(outside)
-    return m.select("*", failed.alias("base_failed"), F.when(failed, F.lit("base")).otherwise(outside).alias("reason")).withColumn("kept", F.col("reason").isNull())
+    off = _off(F.col("centre"))
+    far = (F.abs(off) > reach * F.col("spread")) & (F.abs(F.col("chars_per_token") / F.col("centre") - 1) >= slack)
+    unlike = F.when(far & (off < 0), "few characters per token for its language").when(far, "many characters per token for its language")
+    columns = [x.split()[0] for x in OUT.split(", ")]
+    out = m.select(*columns, "base_failed", F.when(F.col("base_failed"), F.lit("base")).otherwise(F.coalesce(outside, unlike)).alias("reason"))
+    return out.withColumn("kept", F.col("reason").isNull())

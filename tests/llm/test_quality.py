@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -35,8 +36,62 @@ def test_small_texts(spark):
 
 
 def test_whole_table(spark, sf):
-    got = check(spark, [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
-    assert all(r.kept for r in got.values() if not r.base_failed)
+    check(spark, [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+
+
+def test_labelled_texts_are_told_apart(spark):
+    path = "/root/testdata/sf0.01"
+    rows = quality_rules(spark.read.parquet(f"{path}/documents.parquet")).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    kept = {q: [r.kept for r in rows if r.quality == q] for q in (0, 1)}
+    assert sum(kept[1]) >= 0.99 * len(kept[1])
+    assert sum(kept[0]) <= 0.6 * len(kept[0])
+
+
+def test_measures_agree_with_the_tokeniser(spark):
+    import public_tokenizers
+    import sentencepiece
+
+    p = sentencepiece.SentencePieceProcessor(model_file=str(public_tokenizers.path("piece_bpe_32k.model")))
+    texts = ["The quick brown fox jumps over the lazy dog", "één żółć 日本語 \U0001f600 \ue123 x", "aaa bbb aaa", "слово за словом", "#$% a*b*c"]
+    rows = quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in rows:
+        words = WORD.findall(texts[r.doc_id])
+        ids = [i for w in words for i in p.encode(w)]
+        n = len(ids)
+        assert r.n_tokens == n and abs(r.chars_per_token - sum(map(len, words)) / n) < 1e-12
+        assert abs(r.byte_share - sum(p.is_byte(i) or p.is_unknown(i) for i in ids) / n) < 1e-12
+        assert abs(r.entropy + sum(c / n * math.log2(c / n) for c in Counter(ids).values())) < 1e-9
+
+
+def test_fitted_bands_against_brute_force(spark):
+    """Every verdict of the method, by plain medians over the measured rows."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.withColumn("lang", F.when(F.col("doc_id") % 7 > 0, F.col("lang")))
+    rows = quality_rules(docs).collect()
+    lower = lambda v: sorted(v)[(len(v) - 1) // 2]
+    fit = {}
+    for name in {r.language for r in rows}:
+        mine = [r for r in rows if r.language == name and not r.base_failed and r.n_tokens]
+        if len(mine) >= 100:
+            centre = lower([round(1000 * r.chars_per_token) / 1000 for r in mine])
+            fit[name] = centre, 1.4826 * lower([round(1000 * abs(r.chars_per_token / centre - 1) * math.sqrt(r.n_tokens)) / 1000 for r in mine])
+    assert "latin" in fit and "en" in fit
+    for r in rows:
+        if r.language in fit and not r.base_failed:
+            centre, spread = fit[r.language]
+            off = r.chars_per_token / centre - 1
+            far = abs(off) * math.sqrt(r.n_tokens) > 4.5 * spread and abs(off) >= 0.03
+            assert r.kept == (not far), r
+    assert 0 < sum(not r.kept and not r.base_failed for r in rows) < 0.1 * len(rows)
+
+
+def test_null_ids_repeated_rows_and_clashing_columns(spark):
+    long = "plain words of a text " * 50_000
+    rows = [(None, long, 7, "x", "en"), (None, long, 7, "x", "en"), (3, None, None, None, None)]
+    out = quality_rules(spark.createDataFrame(rows, "doc_id long, text string, n_words int, reason string, language string")).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.base_failed) for r in out) == [("3", 0, True)] + [("None", 250_000, True)] * 2
 
 
 def test_fertility_rejects_noise(spark):
