@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.llm import textkernel as K
-from tessaline.session import ship
+from tessaline.session import ship, written
 
 PLACES = 1 << 15
 SIZES = (2, 3, 4)
@@ -121,13 +121,16 @@ def train(rows: list[tuple[str, str]], idf: np.ndarray, alpha: float = 0.5, beta
     return names, w[:PLACES], w[PLACES], temperature
 
 
-def fit(training: DataFrame, per_language: int = 1000) -> dict | None:
-    """A model from rows (doc_id, text, lang) without nulls in lang; None if there is none."""
+def fit(training: DataFrame, per_language: int = 1000, languages: int = 256) -> dict | None:
+    """A model from rows (doc_id, text, lang) without nulls in lang; None if there is none.
+
+    It is trained in one task on a bounded sample: about `per_language` whole texts of each of the `languages` most
+    frequent labels (ties: by code point), so of some 256,000 texts at most; document frequencies cover all rows.
+    """
     spark = training.sparkSession
     ship(spark)
-    counts = {r["lang"]: r["count"] for r in training.groupBy("lang").count().collect()}
-    if not counts:
-        return None
+    shares = training.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    shares = written(shares.select(F.col("lang").alias("label"), F.least(F.lit(1.0), per_language / F.col("count")).alias("share")), "language-shares")
     found = training.select("text").mapInArrow(_frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(PLACES)
     total = next(r["n"] for r in found if r["place"] == -1)
@@ -136,10 +139,8 @@ def fit(training: DataFrame, per_language: int = 1000) -> dict | None:
             df[r["place"]] = r["n"]
     idf = np.log((1 + total) / (1 + df)) + 1
     even = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 40) - 1)) / F.lit(float(1 << 40))
-    share = F.lit(0.0)
-    for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    sample = training.where(even < share).select("doc_id", "text", "lang").repartition(1)
+    # at most `languages` rows of a label and a number are broadcast
+    sample = training.join(F.broadcast(shares), F.col("lang") == F.col("label")).where(even < F.col("share")).select("doc_id", "text", "lang").repartition(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("lang").to_pylist())]
@@ -213,8 +214,8 @@ def in_fold(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds)) == fold, F.lit(True))
 
 
-def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 1000, keep: list[str] | None = None) -> DataFrame:
+def identify_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", per_language: int = 1000, languages: int = 256, keep: list[str] | None = None) -> DataFrame:
     """Learn from the labelled rows that are not held out, then score every row."""
     training = docs.where(~in_fold(F.col(id_col)) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
     training = training.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
-    return predict(docs, fit(training, per_language), id_col, text_col, keep)
+    return predict(docs, fit(training, per_language, languages), id_col, text_col, keep)

@@ -16,7 +16,8 @@ the rows, so reruns agree.
 Defined cases: a null or empty text has size 0 and is taken with 0 words; a null source is a source of
 its own that sorts last; equal keys, which only rows of equal id, size and length have, are taken
 together or not at all; a null id is hashed as an empty one; an empty table gives an empty result;
-other columns are carried along, and columns named like an output are replaced.
+other columns are carried along, whatever their names, but columns named like an output are replaced;
+a text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -90,18 +91,21 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of `docs` with size, source_size, target, copies (how often the mix takes it) and taken (words in all copies)."""
     kept = [c for c in docs.columns if c.lower() not in OUTPUTS]
     text = F.col(text_col).cast("string")
-    rows = docs.withColumn("__size", size_of(text))
-    w = weight if weight is not None else quality_weight(F.coalesce(text, F.lit("")), F.col("__size"))
-    rows = rows.withColumn("__key", _key(F.col(id_col), text, F.col("__size"), w, seed)).withColumn("__source", F.col(source_col).cast("string"))
-    found = cuts(rows.select(F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("__key").alias("key")), **shares)
-    found = written(found, "cuts").select(F.col("source").alias("__s"), F.col("source_size").alias("__total"), F.col("target").alias("__target"), "epochs", "cut")
+    size = size_of(text)
+    w = weight if weight is not None else quality_weight(F.coalesce(text, F.lit("")), size)
+    # a name that no column begins with, so that none is overwritten
+    own = next(n for n in (f"mix{i}" for i in range(len(kept) + 1)) if not any(c.lower().startswith(n) for c in kept))
+    made = F.struct(size.alias("size"), _key(F.col(id_col), text, size, w, seed).alias("key"), F.col(source_col).cast("string").alias("source"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], made.alias(own))
+    found = cuts(rows.select(f"{own}.source", f"{own}.size", f"{own}.key"), **shares)
+    found = written(found, "cuts").select(F.struct("source", "source_size", "target", "epochs", "cut").alias(f"{own}_source"))
     if found.count() <= broadcast_sources:
         found = F.broadcast(found)
-    copies = (F.col("__epochs") + F.coalesce((F.col("__key") <= F.col("__cut")).cast("int"), F.lit(0))).cast("int")
-    found = found.withColumnsRenamed({"epochs": "__epochs", "cut": "__cut"})
-    joined = rows.join(found, F.col("__source").eqNullSafe(F.col("__s")))
+    mine, of = F.col(own), F.col(f"{own}_source")
+    copies = (of["epochs"] + F.coalesce((mine["key"] <= of["cut"]).cast("int"), F.lit(0))).cast("int")
+    joined = rows.join(found, mine["source"].eqNullSafe(of["source"]))
     return joined.select(
-        *[F.col(f"`{c}`") for c in kept], F.col("__size").alias("size"), F.col("__total").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).cast("long").alias("taken")
+        *[F.col(f"`{c}`") for c in kept], mine["size"].alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), copies.alias("copies"), (copies * mine["size"]).cast("long").alias("taken")
     )
 
 

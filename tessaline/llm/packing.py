@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessaline.llm import textkernel as K
-from tessaline.session import ship, written
+from tessaline.session import ship, shuffle_width, written, written_by_key
 
 PIECES = "uid long, doc_id long, piece int, start long, length long, ids binary"
 
@@ -168,8 +168,15 @@ def pack(items: DataFrame, max_tokens: int = 2048, max_pieces: int | None = None
     return dealt.groupBy("group").applyInArrow(run, f"{fields}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", max_tokens: int = 2048, **rules) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece; `pieces` has the ids themselves."""
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "word_bpe_49k.json", max_tokens: int = 2048, keep_ids: bool = False, **rules) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece, and its ids if `keep_ids`.
+
+    The ids lie in buckets of the piece's number, and places come to them: ids are written once and never shuffled.
+    """
     cut = pieces(docs, id_col, text_col, vocabulary, max_tokens)
-    cut = written(cut.select("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
-    return pack(cut, max_tokens, **rules).drop("uid")
+    narrow = ("uid", "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    if not keep_ids:
+        return pack(written(cut.select(*narrow), "pieces"), max_tokens, **rules).drop("uid")
+    cut = written_by_key(cut, "pieces", "uid", shuffle_width(docs.sparkSession))
+    packed = pack(cut.select(*narrow), max_tokens, **rules)
+    return cut.select("uid", "ids").join(packed.hint("shuffle_hash"), "uid").select(*packed.drop("uid").columns, "ids")
