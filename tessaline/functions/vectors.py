@@ -130,3 +130,31 @@ def byte_sum(values: Column, modulus: int = 1 << 32) -> Column:
 def cache_key(a: Column) -> Column:
     """A hash that is equal for vectors equal to four decimals."""
     return F.xxhash64(F.transform(a, lambda x: (x * 10000).cast("long")))
+
+
+def clamped_cosine(a: Column, b: Column) -> Column:
+    """Cosine similarity, 0 where it is negative or a vector is zero."""
+    return F.greatest(F.lit(0.0), 1 - cosine_distance(a, b))
+
+
+def equal_share(a: Column, b: Column) -> Column:
+    """The share of equal components of two code arrays, over the longer one."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False))), lambda e: e)) / F.greatest(F.size(a), F.size(b))
+
+
+def byte_entropy(text: Column) -> Column:
+    """Shannon entropy of the bytes of a string, over 8 bits: 0 to 1. An empty string has 0."""
+    h = F.hex(F.encode(text, "UTF-8"))
+    each = F.when(F.length(h) > 0, F.transform(F.sequence(F.lit(1), F.length(h), F.lit(2)), lambda i: F.substring(h, i, F.lit(2)))).otherwise(F.array().cast("array<string>"))
+    shares = F.transform(F.array_distinct(each), lambda b: F.size(F.filter(each, lambda x: x == b)) / F.size(each))
+    return total(F.transform(shares, lambda p: -p * F.log2(p))) / 8
+
+
+def cache_value(frequency: Column, size: Column, compression: Column, priority: Column) -> Column:
+    return frequency / F.sqrt(size) * compression * (1 + priority)
+
+
+def query_class(dims: Column, k: Column, filtered: Column, approximate: Column) -> Column:
+    """simple, moderate, complex or heavy, by points for dimensions, k, a filter and exactness."""
+    points = (dims > 512).cast("int") + (dims > 1024).cast("int") + (k > 100).cast("int") + filtered.cast("int") + (~approximate).cast("int")
+    return F.when(points <= 1, "simple").when(points == 2, "moderate").when(points == 3, "complex").otherwise("heavy")

@@ -46,11 +46,82 @@ def sequences(rows: DataFrame, by: str, order: list[str], item: str) -> DataFram
 
 
 def anomalies(rows: DataFrame, by: str, value: str, z: float = 2.0) -> DataFrame:
-    """Rows beyond z standard deviations of their group."""
-    w = Window.partitionBy(by)
-    score = (F.col(value) - F.avg(value).over(w)) / F.stddev_pop(value).over(w)
-    return rows.withColumn("z", F.round(score, 6)).where(F.abs("z") > z)
+    """Rows beyond z standard deviations of their group. Groups are aggregated, and meet their rows by a join; no group is sorted."""
+    stats = rows.groupBy(F.col(by).alias("__by")).agg(F.avg(value).alias("__mean"), F.stddev_pop(value).alias("__sd"))
+    joined = rows.join(stats, F.col(by).eqNullSafe(F.col("__by")))
+    return joined.withColumn("z", F.round((F.col(value) - F.col("__mean")) / F.nullif("__sd", F.lit(0.0)), 6)).where(F.abs("z") > z).drop("__by", "__mean", "__sd")
 
 
 def sessions(rows: DataFrame, by: str, time: str, gap: str) -> DataFrame:
     return rows.groupBy(by, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n")).select(by, F.col("w.start").alias("start"), "n")
+
+
+def histogram(rows: DataFrame, value: str, width: float) -> DataFrame:
+    """low, n: how many values fall in each bin of that width."""
+    return rows.where(F.col(value).isNotNull()).groupBy((F.floor(F.col(value) / width) * width).cast("double").alias("low")).agg(F.count("*").alias("n"))
+
+
+def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """By group: rows, mean, sd, least, median and greatest value."""
+    v = F.col(value)
+    return rows.groupBy(by).agg(F.count("*").alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("sd"), F.min(v).alias("low"), F.round(F.median(v), 6).alias("median"), F.max(v).alias("high"))
+
+
+def rolling(rows: DataFrame, by: str, order: str, value: str, last: int = 1000) -> DataFrame:
+    """Mean, greatest value and running mean of the last rows up to each one, within its group."""
+    frame = Window.partitionBy(by).orderBy(order)
+    some = frame.rowsBetween(1 - last, 0)
+    return rows.select(by, order, F.round(F.avg(value).over(some), 6).alias("mean"), F.max(value).over(some).alias("high"), F.round(F.avg(value).over(frame.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("running"))
+
+
+def hit_rate(hits: Column, misses: Column) -> Column:
+    return F.when(hits + misses > 0, hits / (hits + misses)).otherwise(0.0)
+
+
+def outliers_iqr(rows: DataFrame, by: str, value: str, reach: float = 1.5) -> DataFrame:
+    """Rows further than `reach` interquartile ranges outside of their group's quartiles, which are interpolated."""
+    q = rows.groupBy(F.col(by).alias("__by")).agg(F.percentile(value, F.lit(0.25)).alias("__q1"), F.percentile(value, F.lit(0.75)).alias("__q3"))
+    joined = rows.join(q, F.col(by).eqNullSafe(F.col("__by")))
+    far = reach * (F.col("__q3") - F.col("__q1"))
+    return joined.where((F.col(value) < F.col("__q1") - far) | (F.col(value) > F.col("__q3") + far)).drop("__by", "__q1", "__q3")
+
+
+def off_moving_average(rows: DataFrame, by: str, order: list[str], value: str, window: int = 10, factor: float = 2.0) -> DataFrame:
+    """Rows whose value is over `factor` times the mean of the `window` rows before."""
+    before = F.avg(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(-window, -1))
+    return rows.withColumn("before", F.round(before, 6)).where(F.col(value) > factor * F.col("before"))
+
+
+def followed_by(rows: DataFrame, by: str, time: str, order: list[str], kind: str, pattern: list[str], within: str) -> DataFrame:
+    """by, start, end of each run of consecutive rows of a group whose kinds are the pattern, from first to last no longer than `within`."""
+    w = Window.partitionBy(by).orderBy(*order)
+    steps = [F.lead(kind, i).over(w) == p for i, p in enumerate(pattern)] if pattern else []
+    hit = steps[0]
+    for s in steps[1:]:
+        hit = hit & s
+    ends = rows.select(by, F.col(time).alias("start"), F.lead(time, len(pattern) - 1).over(w).alias("end"), hit.alias("hit"))
+    return ends.where(F.col("hit") & (F.col("end") <= F.col("start") + F.expr(f"interval {within}"))).select(by, "start", "end")
+
+
+#: How urgent kinds of events are.
+PRIORITIES = {"error": 100, "purchase": 80, "signup": 60, "click": 40}
+
+
+def priority(kind: Column, priorities: dict[str, int] | None = None, other: int = 20) -> Column:
+    out = F.lit(other)
+    for name, n in (priorities or PRIORITIES).items():
+        out = F.when(kind == name, n).otherwise(out)
+    return out
+
+
+def facts_of_events(events: DataFrame, subject: str, kind: str, time: str, hours: dict[str, int], other: int = 1) -> DataFrame:
+    """subject, predicate, valid_from, valid_to: what each event says, and how long it holds. No state: expiry is a range filter."""
+    valid = F.lit(other)
+    for name, n in hours.items():
+        valid = F.when(F.col(kind) == name, n).otherwise(valid)
+    return events.select(F.col(subject).alias("subject"), F.col(kind).alias("predicate"), F.col(time).alias("valid_from"), (F.col(time) + F.make_dt_interval(hours=valid)).alias("valid_to"))
+
+
+def overall(*scores: Column) -> Column:
+    """The mean of scores, in percent."""
+    return 100 * sum(scores[1:], scores[0]) / len(scores)

@@ -12,18 +12,19 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component) for every node with an edge; component is the least node reachable.
 
     Each round joins edges with the least neighbour of each node, an aggregate that combines before
-    it shuffles; a hub's edges are an ordinary skewed join, which adaptive execution splits. Rounds
-    are written to the shared folder, so lost executors cost one round. Nulls and loops are no edges.
+    it shuffles. The aggregate is written first: both sides of the join are then plain scans, and adaptive
+    execution can split a hub's edges, or broadcast the other side if its files are small. Rounds are
+    written to the shared folder, so lost executors cost one round. Nulls and loops are no edges.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null and a <> b")
     now = written(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     state = None
     for _ in range(max_rounds):
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "components")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.where("u <> v").distinct(), "components")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "components")
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
         now = written(small.select("e.u", "e.v").where("u <> v").distinct(), "components")
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()

@@ -104,3 +104,45 @@ def accepted(path: Column, include: list[str], exclude: list[str]) -> Column:
 
 def free_text(needle: str, *columns: Column) -> Column:
     return _any([F.coalesce(F.lower(c.cast("string")).contains(needle.lower()), F.lit(False)) for c in columns])
+
+
+def metadata(size: tuple | None = None, created: tuple | None = None, modified: tuple | None = None, dims: int | None = None, kind: str | None = None, max_distance: float | None = None) -> Column:
+    """The fixed filter over columns size, created, modified, dims, kind and distance; bounds are inclusive and may be None."""
+    parts = []
+    for name, bounds in (("size", size), ("created", created), ("modified", modified)):
+        low, high = bounds or (None, None)
+        parts += [F.col(name) >= F.lit(low)] if low is not None else []
+        parts += [F.col(name) <= F.lit(high)] if high is not None else []
+    parts += [F.col("dims") == dims] if dims is not None else []
+    parts += [F.col("kind") == kind] if kind is not None else []
+    parts += [F.col("distance") <= max_distance] if max_distance is not None else []
+    return F.coalesce(_all(parts), F.lit(False))
+
+
+def unless_zero(value: Column, low: float = 0, high: float = 0) -> Column:
+    """Bounds where 0 means that there is none, and an upper one counts only above the lower."""
+    parts = [value >= F.lit(low)] if low else []
+    return F.coalesce(_all(parts + ([value <= F.lit(high)] if high > low else [])), F.lit(False))
+
+
+def extension(path: Column) -> Column:
+    """The lower-case ending of a path's last part, '' if it has none."""
+    return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
+
+
+def sane(confidence: Column, distance: Column, score: Column) -> Column:
+    """Results worth showing: some confidence, and finite numbers."""
+    finite = lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    return (confidence > 0.1) & finite(distance) & finite(score)
+
+
+def path_constraints(path: Column, types: Column, shortest: int | None = None, longest: int | None = None, required: list[str] = (), forbidden: list[str] = (), unique_nodes: bool = False) -> Column:
+    """Paths (arrays of nodes, and of the types of their edges) of so many edges, with and without sequences of edge types, and without a node twice."""
+    joined = F.concat(F.lit("/"), F.array_join(types, "/"), F.lit("/"))
+    has = lambda names: joined.contains("/" + "/".join(names) + "/")
+    parts = [F.size(types) >= shortest] if shortest is not None else []
+    parts += [F.size(types) <= longest] if longest is not None else []
+    parts += [has(required)] if required else []
+    parts += [~has(forbidden)] if forbidden else []
+    parts += [F.size(F.array_distinct(path)) == F.size(path)] if unique_nodes else []
+    return _all(parts)

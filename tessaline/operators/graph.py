@@ -6,9 +6,13 @@ level is written to the shared folder, which cuts the lineage and survives lost
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessaline.operators.components import connected_components
 from tessaline.session import written
 
 
@@ -38,12 +42,16 @@ def k_hop(edges: DataFrame, start: DataFrame, hops: int) -> DataFrame:
     return bfs(undirected(edges), start, hops).select("id", "depth")
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, max_edges: int = 1000, max_distance: float | None = None) -> DataFrame:
-    """id, distance from the nearest start, over paths of at most max_edges edges; only improved nodes are expanded again."""
+def shortest_paths(edges: DataFrame, start: DataFrame, max_edges: int | None = None, max_distance: float | None = None) -> DataFrame:
+    """id, distance from the nearest start, over paths of any length or of at most max_edges edges; only improved nodes are expanded again.
+
+    Weights below 0 are an error: a round that improves nodes need not be followed by a last one then.
+    """
     steps = edges.groupBy("src", "dst").agg(F.min("weight").cast("double").alias("w"))
+    steps = steps.withColumn("w", F.when(F.col("w") < 0, F.raise_error(F.lit("negative weight"))).otherwise(F.col("w")))
     best = written(start.select("id").distinct().select("id", F.lit(0.0).alias("distance")), "paths")
     front = best
-    for _ in range(max_edges):
+    for _ in range(max_edges) if max_edges is not None else count():
         reach = front.join(steps, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), (F.col("distance") + F.col("w")).alias("distance"))
         if max_distance is not None:
             reach = reach.where(F.col("distance") <= max_distance)
@@ -55,12 +63,12 @@ def shortest_paths(edges: DataFrame, start: DataFrame, max_edges: int = 1000, ma
     return best
 
 
-def topological_levels(edges: DataFrame, max_levels: int = 1000) -> DataFrame:
+def topological_levels(edges: DataFrame) -> DataFrame:
     """id, level: nodes without edges from nodes of the same or a later level. A cycle is an error."""
     left = edges.select("src", "dst").distinct()
     todo = written(left.select(F.col("src").alias("id")).unionAll(left.select(F.col("dst").alias("id"))).distinct(), "topo")
     out = None
-    for level in range(max_levels):
+    for level in count():
         if todo.isEmpty():
             break
         blocked = left.join(todo.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
@@ -146,17 +154,183 @@ def combine(graph: DataFrame, vector: DataFrame, strategy: str, graph_weight: fl
     return g.join(v, "id", how).select("id", F.round(score, 6).alias("score"))
 
 
-def fixpoint(facts: DataFrame, rules: list, max_rounds: int = 100) -> DataFrame:
-    """Forward chaining over facts (predicate, a, b, confidence). A rule maps the facts known to new ones; only new ones start another round."""
-    known = written(facts.select("predicate", "a", "b", "confidence"), "facts")
-    for _ in range(max_rounds):
-        new = None
+def fixpoint(facts: DataFrame, rules: list, max_rounds: int | None = None) -> DataFrame:
+    """Forward chaining over facts (predicate, a, b, confidence), until a round finds nothing new. A fact keeps its best confidence.
+
+    A rule maps (known, new) to facts; new are those that the round before added or made surer, so a rule joins new ones
+    with known ones and not all with all. With `max_rounds`, a closure that is not reached by then is an error.
+    """
+    key = ["predicate", "a", "b"]
+    known = written(facts.groupBy(*key).agg(F.max("confidence").alias("confidence")), "facts")
+    new = known
+    for n in count():
+        if max_rounds is not None and n >= max_rounds:
+            raise RuntimeError(f"the facts did not settle in {max_rounds} rounds")
+        made = None
         for rule in rules:
-            made = rule(known).select("predicate", "a", "b", "confidence")
-            new = made if new is None else new.unionByName(made)
-        new = new.groupBy("predicate", "a", "b").agg(F.max("confidence").alias("confidence")).join(known, ["predicate", "a", "b"], "left_anti")
-        new = written(new, "facts")
+            out = rule(known, new).select(*key, "confidence")
+            made = out if made is None else made.unionByName(out)
+        if made is None:
+            return known
+        made = made.groupBy(*key).agg(F.max("confidence").alias("confidence"))
+        before = known.withColumnRenamed("confidence", "before")
+        # sums and products of doubles: what is surer by less than 1e-12 is not new
+        new = written(made.join(before, key, "left").where(F.col("before").isNull() | (F.col("confidence") > F.col("before") + 1e-12)).drop("before"), "facts")
         if new.isEmpty():
             return known
-        known = written(known.unionByName(new), "facts")
-    return known
+        known = written(known.unionByName(new).groupBy(*key).agg(F.max("confidence").alias("confidence")), "facts")
+
+
+@dataclass
+class Graph:
+    """Nodes (id, type, ...) and edges (src, dst, type, weight) with checked changes; each change returns a new graph."""
+
+    nodes: DataFrame
+    edges: DataFrame
+
+    def add_nodes(self, new: DataFrame) -> Graph:
+        kept = self.nodes.join(new.select("id"), "id", "left_anti")
+        return Graph(kept.unionByName(new, allowMissingColumns=True), self.edges)
+
+    def add_edges(self, new: DataFrame, strict: bool = False) -> Graph:
+        """Edges whose ends exist; others are left out, or an error if strict."""
+        ends = self.nodes.select("id").distinct()
+        good = new.join(ends.withColumnRenamed("id", "src"), "src", "left_semi").join(ends.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        if strict and good.count() < new.count():
+            raise KeyError("an edge has an unknown end")
+        return Graph(self.nodes, self.edges.unionByName(good.select(*new.columns), allowMissingColumns=True))
+
+    def remove_nodes(self, gone: DataFrame) -> Graph:
+        """Nodes go with all their edges."""
+        left = self.edges
+        for end in ("src", "dst"):
+            left = left.join(gone.select(F.col("id").alias(end)), end, "left_anti")
+        return Graph(self.nodes.join(gone.select("id"), "id", "left_anti"), left.select(*self.edges.columns))
+
+    def remove_edges(self, gone: DataFrame) -> Graph:
+        return Graph(self.nodes, self.edges.join(gone.select("src", "dst", "type"), ["src", "dst", "type"], "left_anti").select(*self.edges.columns))
+
+    def neighbours(self, start: DataFrame, direction: str = "both", types: list[str] | None = None, depth: int = 1) -> DataFrame:
+        """id, depth of nodes within `depth` edges of `start`, without the start itself."""
+        e = self.edges.where(F.col("type").isin(types)) if types else self.edges
+        ways = {"out": e, "in": e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"), "both": undirected(e)}
+        return bfs(ways[direction], start, depth).where("depth > 0").select("id", "depth")
+
+    def constrained(self, results: DataFrame, allowed: DataFrame | None = None, around: DataFrame | None = None, hops: int = 2, types: list[str] | None = None, properties: dict | None = None) -> DataFrame:
+        """Rows of results (id, ...) on allowed nodes, near other nodes, of some types and with equal properties."""
+        if allowed is not None:
+            results = results.join(allowed.select("id"), "id", "left_semi")
+        if around is not None:
+            results = results.join(k_hop(self.edges, around, hops).select("id"), "id", "left_semi")
+        condition = F.col("type").isin(types) if types else F.lit(True)
+        for name, value in (properties or {}).items():
+            condition = condition & (F.col(name) == F.lit(value))
+        return results.join(self.nodes.where(condition).select("id"), "id", "left_semi")
+
+
+def dfs(edges: DataFrame, start: int, max_nodes: int = 10_000) -> list[int]:
+    """Nodes in depth-first order, the least neighbour first. The order is one walk, so the reachable part is collected: an error beyond max_nodes."""
+    reached = k = bfs(edges, edges.sparkSession.createDataFrame([(start,)], "id long"), 1 << 30).select("id")
+    if reached.limit(max_nodes + 1).count() > max_nodes:
+        raise ValueError(f"more than {max_nodes} nodes are reachable")
+    near: dict[int, list[int]] = {}
+    for r in edges.join(k, F.col("src") == F.col("id"), "left_semi").select("src", "dst").distinct().collect():
+        near.setdefault(r["src"], []).append(r["dst"])
+    out, seen, stack = [], set(), [start]
+    while stack:
+        x = stack.pop()
+        if x not in seen:
+            seen.add(x)
+            out.append(x)
+            stack += sorted(near.get(x, []), reverse=True)
+    return out
+
+
+def all_distances(edges: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """source, id, depth, ways: edges to each node that a source reaches, and how many shortest paths lead there. One join by level for all sources."""
+    e = edges.where("src <> dst").select(F.col("src").alias("at"), "dst").distinct()
+    start = sources.select("id") if sources is not None else edges.select(F.col("src").alias("id")).unionAll(edges.select("dst"))
+    level = written(start.distinct().select(F.col("id").alias("source"), "id", F.lit(0).alias("depth"), F.lit(1.0).alias("ways")), "distances")
+    seen = level
+    for depth in count(1):
+        new = level.join(e, F.col("id") == F.col("at")).groupBy("source", F.col("dst").alias("id")).agg(F.sum("ways").alias("ways"))
+        level = written(new.join(seen.select("source", "id"), ["source", "id"], "left_anti").select("source", "id", F.lit(depth).alias("depth"), "ways"), "distances")
+        if level.isEmpty():
+            return seen
+        seen = written(seen.unionByName(level), "distances")
+
+
+def closeness(distances: DataFrame) -> DataFrame:
+    """id, closeness (reached nodes by the sum of distances to them) and harmonic (the sum of 1 / distance), of each source."""
+    d = F.col("depth")
+    out = distances.groupBy(F.col("source").alias("id")).agg(F.count(F.when(d > 0, 1)).alias("n"), F.sum(d).alias("total"), F.sum(F.when(d > 0, 1 / d).otherwise(0.0)).alias("harmonic"))
+    return out.select("id", F.round(F.when(F.col("total") > 0, F.col("n") / F.col("total")).otherwise(0.0), 6).alias("closeness"), F.round("harmonic", 6).alias("harmonic"))
+
+
+def betweenness(edges: DataFrame, distances: DataFrame) -> DataFrame:
+    """id, betweenness: over all ordered pairs, the share of shortest paths that pass the node. Shares run back from the furthest level."""
+    e = edges.where("src <> dst").select("src", "dst").distinct()
+    a = distances.select("source", F.col("id").alias("src"), F.col("depth").alias("da"), F.col("ways").alias("wa"))
+    b = distances.select("source", F.col("id").alias("dst"), F.col("depth").alias("db"), F.col("ways").alias("wb"))
+    steps = written(a.join(e, "src").join(b, ["source", "dst"]).where("db = da + 1"), "paths")
+    share = distances.select("source", "id", F.lit(0.0).alias("share")).where("1 = 0")
+    last = distances.agg(F.max("depth")).first()[0] or 0
+    every = share
+    for depth in range(last, 0, -1):
+        here = steps.where(F.col("db") == depth).join(share.withColumnRenamed("id", "dst"), ["source", "dst"], "left")
+        share = written(here.groupBy("source", F.col("src").alias("id")).agg(F.sum(F.col("wa") / F.col("wb") * (1 + F.coalesce("share", F.lit(0.0)))).alias("share")), "shares")
+        every = every.unionByName(share)
+    passed = every.where("source <> id").groupBy("id").agg(F.sum("share").alias("share"))
+    return distances.select("id").distinct().join(passed, "id", "left").select("id", F.round(F.coalesce("share", F.lit(0.0)), 6).alias("betweenness"))
+
+
+def eigenvector(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """id, centrality after a fixed number of rounds of x + Ax (the shift lets bipartite graphs settle), scaled to length 1."""
+    e = written(edges.groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w")), "eigen")
+    x = written(e.select(F.col("src").alias("id")).unionAll(e.select("dst")).distinct().withColumn("x", F.lit(1.0)), "eigen")
+    for _ in range(rounds):
+        got = e.join(x, F.col("src") == F.col("id")).groupBy("dst").agg(F.sum(F.col("w") * F.col("x")).alias("got"))
+        new = x.join(got, F.col("id") == F.col("dst"), "left").select("id", (F.col("x") + F.coalesce("got", F.lit(0.0))).alias("x"))
+        length = new.agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))  # one row
+        x = written(new.join(F.broadcast(length)).select("id", (F.col("x") / F.col("length")).alias("x")), "eigen")
+    return x.select("id", F.round("x", 6).alias("centrality"))
+
+
+def statistics(edges: DataFrame) -> DataFrame:
+    """One row: nodes, edges, average degree, density, components, the largest of them, and diameter, all without direction."""
+    both = undirected(edges)
+    n = both.select("src").distinct().agg(F.count("*").alias("nodes"))
+    m = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().agg(F.count("*").alias("edges"))
+    parts = connected_components(edges).groupBy("component").agg(F.count("*").alias("n")).agg(F.count("*").alias("components"), F.max("n").alias("largest"))
+    wide = all_distances(both).agg(F.max("depth").alias("diameter"))
+    row = n.join(F.broadcast(m)).join(F.broadcast(parts)).join(F.broadcast(wide))  # one row each
+    return row.select("nodes", "edges", F.round(2 * F.col("edges") / F.col("nodes"), 6).alias("average_degree"), F.round(2 * F.col("edges") / (F.col("nodes") * (F.col("nodes") - 1)), 6).alias("density"), "components", "largest", "diameter")
+
+
+def louvain_moves(edges: DataFrame, rounds: int = 20) -> DataFrame:
+    """id, community: every round, nodes move to the neighbouring community that gains most modularity, until none gains.
+
+    Half of the nodes, by a hash of node and round, may move at a time, so that two nodes don't swap places for ever; ties go to the least community.
+    """
+    e = written(undirected(edges).where("src <> dst").groupBy("src", "dst").agg(F.sum("weight").cast("double").alias("w")), "louvain")
+    degree = written(e.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k")), "louvain")
+    twice = degree.agg(F.sum("k")).first()[0] or 1.0
+    label = written(degree.select("id", F.col("id").alias("community")), "louvain")
+    still = 0
+    for n in range(rounds):
+        size = degree.join(label, "id").groupBy("community").agg(F.sum("k").alias("total"))
+        links = e.join(label.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "community").agg(F.sum("w").alias("w"))
+        own = label.withColumnRenamed("community", "own")
+        options = links.unionByName(label.withColumn("w", F.lit(0.0))).groupBy("id", "community").agg(F.sum("w").alias("w"))
+        options = options.join(degree, "id").join(size, "community").join(own, "id")
+        rest = F.col("total") - F.when(F.col("community") == F.col("own"), F.col("k")).otherwise(0.0)
+        gain = F.round(F.col("w") - F.col("k") * rest / twice, 9)
+        best = options.groupBy("id").agg(F.min(F.struct((-gain).alias("g"), (F.col("community") != F.col("own")).alias("moves"), "community"))["community"].alias("to"))
+        turn = F.pmod(F.xxhash64("id", F.lit(n)), F.lit(2)) == 0
+        moved = written(label.join(best, "id").select("id", F.when(turn, F.col("to")).otherwise(F.col("community")).alias("community"), (F.col("to") != F.col("community")).alias("would")), "louvain")
+        still = 0 if moved.where("would").limit(1).count() else still + 1
+        label = moved.select("id", "community")
+        if still:
+            break
+    names = label.groupBy("community").agg(F.min("id").alias("name"))
+    return label.join(names, "community").select("id", F.col("name").alias("community"))

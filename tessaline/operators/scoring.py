@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessaline.session import written
+
 #: Fixed values of the scoring model.
 SIGMOID_WEIGHT, METADATA_WEIGHT = 0.8, 0.2
 DISTANCE_PART, CONFIDENCE_PART, METADATA_PART = 0.6, 0.3, 0.1
@@ -70,15 +72,34 @@ def quality(r: DataFrame) -> DataFrame:
     )
 
 
-def fuse(lists: DataFrame, method: str = "rrf", c: int = 60) -> DataFrame:
-    """id, score, rank from rows (list, id, rank): reciprocal ranks or Borda counts."""
+def ranked_overall(rows: DataFrame, *order: Column) -> DataFrame:
+    """Add `rank` over all rows: they are sorted by ranges, and each range starts behind the rows of those before it; no task holds all."""
+    sorted_ = written(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    ranges = sorted_.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row a range
+    ranges = ranges.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
+    return sorted_.join(F.broadcast(ranges), part == F.col("__part")).withColumn("rank", (F.col("__before") + place + 1).cast("int")).drop("__at", "__part", "__before")
+
+
+def fuse(lists: DataFrame, method: str = "rrf", c: int = 60, weights: dict | None = None) -> DataFrame:
+    """id, score, rank from rows (list, id, rank, and score for the last two methods): rrf, borda, weighted_sum (weights by list, which sum to 1) or max_score."""
     if method == "borda":
-        lists = lists.withColumn("__n", F.count("*").over(Window.partitionBy("list")))
-        points = F.col("__n") - F.col("rank") + 1
+        sizes = lists.groupBy("list").agg(F.count("*").alias("__n"))
+        points = F.sum((F.col("__n") - F.col("rank") + 1).cast("double"))
+        lists = lists.join(sizes, "list")
+    elif method == "rrf":
+        points = F.sum((1 / (c + F.col("rank"))).cast("double"))
+    elif method == "weighted_sum":
+        if not weights or abs(sum(weights.values()) - 1) > 1e-9:
+            raise ValueError("weights must sum to 1")
+        weight = F.coalesce(*[F.when(F.col("list") == k, F.lit(float(w))) for k, w in weights.items()], F.lit(0.0))
+        points = F.sum(weight * F.col("score"))
+    elif method == "max_score":
+        points = F.max("score")
     else:
-        points = 1 / (c + F.col("rank"))
-    out = lists.groupBy("id").agg(F.round(F.sum(points.cast("double")), 6).alias("score"))
-    return out.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "id")))
+        raise ValueError(f"unknown method {method}")
+    out = lists.groupBy("id").agg(F.round(points, 6).alias("score"))
+    return ranked_overall(out, F.col("score").desc(), F.col("id"))
 
 
 def diverse(r: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -6,6 +6,10 @@ ordered, so that ties do not depend on the order of a sum.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,19 +120,22 @@ def dual_metric(data: DataFrame, query: list[float], k: int, first: str = "l2",
     return data.where(F.size(vector_col) == len(query)).withColumn("distance", d).orderBy("distance", id_col).limit(k)
 
 
-def lsh_candidates(data: DataFrame, queries: DataFrame, tables: int = 8, bits: int = 8, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64) -> DataFrame:
-    """query_id, id: rows that share a random-projection signature in any table; an equi-join on (table, signature)."""
-    import random
+def lsh_candidates(data: DataFrame, queries: DataFrame, tables: int = 24, bits: int = 4, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", dims: int = 64) -> DataFrame:
+    """query_id, id: rows that share a random-projection signature in any table; an equi-join on (table, signature). Signatures are one matrix product an Arrow batch."""
+    planes = np.random.default_rng(seed).standard_normal((dims, tables * bits))
+    powers = (1 << np.arange(bits)).astype(np.int64)
 
-    rng = random.Random(seed)
-    planes = [[[rng.gauss(0, 1) for _ in range(dims)] for _ in range(bits)] for _ in range(tables)]
+    def signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(batch.num_rows, dims)
+            codes = ((x @ planes) > 0).reshape(batch.num_rows, tables, bits) @ powers
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), tables))), pa.array(np.tile(np.arange(tables, dtype=np.int32), batch.num_rows)), pa.array(codes.ravel())], names=["id", "tbl", "signature"])
 
-    def signed(df: DataFrame, name: str) -> DataFrame:
-        v = V.vec(vector_col)
-        sign = lambda t: sum((F.when(V.dot(v, F.array(*[F.lit(x) for x in plane])) > 0, 1 << i).otherwise(0) for i, plane in enumerate(planes[t])), F.lit(0))
-        return df.select(F.col(id_col).alias(name), F.posexplode(F.array(*[sign(t) for t in range(tables)])).alias("tbl", "signature"))
+    def signed(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col(id_col).cast("long").alias("id"), V.vec(vector_col).alias("v")).where(F.size("v") == dims).where(F.forall("v", lambda x: x.isNotNull()))
+        return rows.mapInArrow(signatures, "id long, tbl int, signature long")
 
-    return signed(data, "id").join(signed(queries, "query_id"), ["tbl", "signature"]).where("id <> query_id").select("query_id", "id").distinct()
+    return signed(data).join(signed(queries).withColumnRenamed("id", "query_id"), ["tbl", "signature"]).where("id <> query_id").select("query_id", "id").distinct()
 
 
 def ivf_candidates(data: DataFrame, queries: DataFrame, cells: int = 16, probes: int = 4, sample_rows: int = 50_000, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -158,3 +165,29 @@ def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """query_id, recall: the share of the exact k that was found."""
     hit = exact.select("query_id", "id").join(found.select("query_id", "id").withColumn("hit", F.lit(1)), ["query_id", "id"], "left")
     return hit.groupBy("query_id").agg((F.count("hit") / k).alias("recall"))
+
+
+def _is(word: str):
+    return lambda x: x == F.lit(word)
+
+
+def bm25(docs: DataFrame, words: list[str], k1: float = 1.2, b: float = 0.75, pattern: str = "[a-zà-ÿß]+") -> DataFrame:
+    """id, score of the rows (id, text) with any of the words. Words are counted by row; only rows and words that match are shuffled."""
+    found = docs.select("id", F.regexp_extract_all(F.lower("text"), F.lit(f"({pattern})")).alias("ws")).where(F.size("ws") > 0)
+    sized = found.select("id", F.size("ws").alias("n"), *[F.size(F.filter("ws", _is(w))).alias(f"f{i}") for i, w in enumerate(words)])
+    every = sized.agg(F.count("*").alias("docs"), F.avg("n").alias("mean"), *[F.count(F.when(F.col(f"f{i}") > 0, 1)).alias(f"df{i}") for i in range(len(words))])  # one row
+    part = lambda i: F.log(1 + (F.col("docs") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"f{i}") * (k1 + 1) / (F.col(f"f{i}") + k1 * (1 - b + b * F.col("n") / F.col("mean")))
+    score = sum((F.when(F.col(f"f{i}") > 0, part(i)).otherwise(0.0) for i in range(len(words))), F.lit(0.0))
+    hit = sum((F.col(f"f{i}") for i in range(len(words))), F.lit(0)) > 0
+    return sized.where(hit).join(F.broadcast(every)).select("id", score.alias("score"))
+
+
+def index_search(data: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", index: str = "ivf", condition: Column | None = None, expansion: float = 2.0, id_col: str = "vec_id", vector_col: str = "embedding", **how) -> DataFrame:
+    """Approximate search: candidates of an index, of which k * expansion by exact distance are ranked; then a condition on rows of `data` holds, and k stay."""
+    _check(k)
+    find = {"ivf": ivf_candidates, "lsh": lsh_candidates}[index]
+    found = rerank(find(data, queries, id_col=id_col, vector_col=vector_col, **how), data, queries, int(k * expansion), metric, id_col, vector_col)
+    if condition is not None:
+        found = found.join(data.where(condition).select(F.col(id_col).alias("id")), "id", "left_semi")
+    order = Window.partitionBy("query_id").orderBy("distance", "id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")

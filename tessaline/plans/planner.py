@@ -18,6 +18,18 @@ def strategy(rows: int, approximate: bool = False, indexed: bool = False) -> str
     return "two_phase" if approximate and rows > EXACT_ROWS else "exact"
 
 
+def search_by_strategy(data: DataFrame, key: int, k: int, approximate: bool = False, indexed: bool = False, metric: str = "l2") -> DataFrame:
+    """vec_id, distance of the k rows nearest to a stored one, itself included where it is found, by the strategy that suits the table's size."""
+    chosen = strategy(data.count() if approximate else 0, approximate, indexed)
+    query = search.vector_of(data, key)
+    if chosen == "index":
+        own = data.where(F.col("vec_id") == key)
+        return search.index_search(data, own, k, metric).select(F.col("id").alias("vec_id"), "distance")
+    if chosen == "two_phase":
+        return search.two_phase(data, query, k).select("vec_id", "distance")
+    return search.knn(data, query, k, metric).select("vec_id", "distance")
+
+
 @dataclass
 class UnifiedQuery:
     """A builder: graph part, vector part, how they combine, order and limit."""

@@ -31,12 +31,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     The cluster names it in spark.checkpoint.dir. Only where that is unset (tests, a laptop) a
-    machine-local folder is made, which is then also the checkpoint directory.
+    machine-local folder is made, which is then also the checkpoint directory, and only on a local master:
+    the driver of a cluster could not read there what executors wrote.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if not named:
         current = sc._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="tessaline-shared-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(named)
