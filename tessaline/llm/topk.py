@@ -10,17 +10,20 @@ scores, and whole pairs of blocks are pruned by the same bound before any vector
 
 Scale: the queries are a stated set, and blocks of them meet blocks of vectors; a cell that many equal or
 near vectors share is cut by a hash into blocks of `block_rows`. Of a block pair, the queries travel, in
-groups of `query_group` blocks. Pivots are a bounded sample (`MAX_PIVOTS`); they decide only what lies
+groups of `query_group` blocks, and a data block goes to the groups that it has a surviving pair with. A block
+carries its tree, which is built once. Pivots are a bounded sample (`MAX_PIVOTS`); they decide only what lies
 together, every row is indexed, and the result is exact.
 
 Defined cases: rows with a null id, a null or empty vector, or a null or non-finite component take no
-part; only vectors of equal length are compared; ties go to the smaller id; equal rows count once, as a
-query and as a candidate; a query is never its own answer (equal id); an empty table gives an empty
-result; other columns are not read.
+part; only vectors of equal length are compared; ties go to the smaller id; a candidate row counts as often as
+it stands, a query that stands several times is asked once; a query is never its own answer (equal id);
+rows of one id and different vectors are candidates and queries of their own; an empty table gives an
+empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessaline.llm.blocks import squeeze, unsqueeze
+from tessaline.llm.blocks import unzip_bytes, zip_bytes
 from tessaline.session import ship, written
 
 MAX_PIVOTS = 256
@@ -145,28 +148,29 @@ def dual_search(q: CoverTree, v: CoverTree, best: Best) -> int:
     return taken
 
 
-def _rows(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _rows(t: pa.Table, once: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Points and ids in one order, whatever order they came in; `once`: equal rows are one."""
     v = t.column("v").combine_chunks()
     points = np.asarray(v.flatten(), dtype=np.int64).reshape(t.num_rows, -1)
     ids = t.column("vec_id").to_numpy()
-    both = np.unique(np.concatenate([ids[:, None], points], axis=1), axis=0)  # equal rows count once
+    both = np.concatenate([ids[:, None], points], axis=1)
+    both = np.unique(both, axis=0) if once else both[np.lexsort(both.T[::-1])]
     return both[:, 1:], both[:, 0]
 
 
 BLOCK = "dim int, cell int, part int, center array<double>, norm double, radius double, n long, payload binary"
 
 
-def _build(t: pa.Table) -> pa.Table:
-    points, ids = _rows(t)
+def _build(t: pa.Table, once: bool) -> pa.Table:
+    points, ids = _rows(t, once)
     tree = CoverTree(points, ids)
-    payload = squeeze(pa.table({"id": ids, "v": pa.FixedSizeListArray.from_arrays(pa.array(points.ravel()), points.shape[1])}))
+    payload = zip_bytes(pickle.dumps(tree))
     first = {k: pa.array([t.column(k)[0].as_py()], pa.int32()) for k in ("dim", "cell", "part")}
     return pa.table({**first, "center": pa.array([tree.places[0].tolist()], pa.list_(pa.float64())), "norm": [float(tree.norms[0])], "radius": [float(tree.radii[0])], "n": pa.array([len(ids)], pa.int64()), "payload": pa.array([payload], pa.binary())})
 
 
 def _tree(payload: bytes) -> CoverTree:
-    t = unsqueeze(payload)
-    return CoverTree(np.asarray(t.column("v").combine_chunks().flatten()).reshape(t.num_rows, -1), t.column("id").to_numpy())
+    return pickle.loads(unzip_bytes(payload))  # noqa: S301  written by this job
 
 
 ANSWER = "qdim int, qcell int, qpart int, qplace int, query_id long, vec_id long, score long"
@@ -212,14 +216,17 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     pivots = {d: p[: min(MAX_PIVOTS, per)] for d, p in pivots.items()}
     placed = written(rows.mapInArrow(place, "vec_id long, v array<long>, dim int, cell int"), "vectors")
 
-    def cut(df: DataFrame, most: int) -> DataFrame:
-        sizes = df.groupBy("dim", "cell").count().withColumn("parts", F.ceil(F.col("count") / most).cast("int")).drop("count")
-        dealt = df.join(F.broadcast(sizes) if len(some) <= MAX_PIVOTS and len(pivots) <= MAX_PIVOTS else sizes, ["dim", "cell"])
-        dealt = dealt.select("vec_id", "v", "dim", "cell", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"))
-        return dealt.groupBy("dim", "cell", "part").applyInArrow(_build, BLOCK)
-
-    data = written(cut(placed, block_rows), "data-blocks")
-    queries = written(cut(placed.where(is_query), query_rows), "query-blocks")
+    def cut(df: DataFrame, most: int, once: bool) -> DataFrame:
+        # a row for each cell and length of vectors, small unless lengths are many: Spark broadcasts the written table if its file is small
+        sizes = written(df.groupBy("dim", "cell").count().withColumn("parts", F.ceil(F.col("count") / most).cast("int")).drop("count"), "cells")
+        # queries that are equal must meet; candidates that are equal may be dealt apart, so that one row many times over is no hot part
+        salt = F.xxhash64("vec_id") if once else F.xxhash64("vec_id", F.monotonically_increasing_id())
+        dealt = df.withColumn("salt", salt).join(sizes, ["dim", "cell"])
+        dealt = dealt.select("vec_id", "v", "dim", "cell", F.pmod("salt", F.col("parts")).cast("int").alias("part"))
+        return dealt.groupBy("dim", "cell", "part").applyInArrow(lambda t: _build(t, once), BLOCK)
+
+    data = written(cut(placed, block_rows, False), "data-blocks")
+    queries = written(cut(placed.where(is_query).distinct(), query_rows, True), "query-blocks")
     n_query_blocks = max(1, queries.count())
 
     # Each query block meets the first block of its own cell.
@@ -251,9 +258,10 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     bound = dot + F.col("norm") * F.col("q_radius") + F.col("radius") * F.col("q_norm") + F.col("radius") * F.col("q_radius")
     met = (F.col("part") == 0) & (F.col("cell") == F.col("q_cell"))
     pairs = left.join(right, (left["share"] == right["share"]) & (F.col("dim") == F.col("q_dim"))).where(~met & (F.col("worst").isNull() | (bound * (1 + 1e-9) + 1.0 >= F.col("worst"))))
-    pairs = pairs.select("dim", "cell", "part", "q_cell", "q_part", "grp")
+    pairs = written(pairs.select("dim", "cell", "part", "q_cell", "q_part", "grp"), "pairs")
     full = pairs.join(q.select(F.col("q_dim").alias("dim"), "q_cell", "q_part", "q_payload", "each"), ["dim", "q_cell", "q_part"])
-    copies = data.select(F.col("dim").alias("v_dim"), F.col("cell").alias("v_cell"), F.col("part").alias("v_part"), "payload").withColumn("v_grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    copies = data.select("dim", "cell", "part", "payload").join(pairs.select("dim", "cell", "part", "grp").distinct(), ["dim", "cell", "part"])
+    copies = copies.select(F.col("dim").alias("v_dim"), F.col("cell").alias("v_cell"), F.col("part").alias("v_part"), F.col("grp").alias("v_grp"), "payload")
 
     def meet(one: pa.Table, many: pa.Table) -> pa.Table:
         empty = pa.schema([("qdim", pa.int32()), ("qcell", pa.int32()), ("qpart", pa.int32()), ("qplace", pa.int32()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())]).empty_table()
@@ -285,8 +293,8 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
-r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
+  SELECT q.vec_id AS query_id, q.e AS asked, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+  FROM (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 50 = 0) q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, (row_number() OVER (PARTITION BY query_id, asked ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

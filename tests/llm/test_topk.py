@@ -8,10 +8,10 @@ from tessaline.llm.topk import Best, CoverTree, dual_search, top_k
 
 
 def brute(rows, every, k):
-    good = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v)})
-    ints = [(i, [math.floor(256 * float(np.float32(x))) for x in v]) for i, v in good]
+    good = sorted((i, tuple(v)) for i, v in rows if i is not None and v and all(x is not None and math.isfinite(x) for x in v))
+    ints = [(i, tuple(math.floor(256 * float(np.float32(x))) for x in v)) for i, v in good]
     out = []
-    for i, q in ints:
+    for i, q in sorted(set(ints)):
         if i % every == 0:
             found = sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in ints if j != i and len(v) == len(q))
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(found[:k])]
@@ -50,3 +50,18 @@ def test_trees_cover_and_prune():
         s = x @ q.points[i]
         want = sorted((-v, j) for j, v in enumerate(s.tolist()) if j != q.ids[i])[:5]
         assert list(zip((-best.score[i]).astype(int).tolist(), best.ids[i].tolist())) == want
+
+
+def test_repeated_rows_count_as_often_as_they_stand_and_sql_agrees(spark, tmp_path):
+    import duckdb
+
+    from tessaline.llm.topk import ORACLE
+
+    rows = [(50, [1.0, 0.0])] * 2 + [(1, [0.9, 0.1])] * 3 + [(2, [0.8, 0.2])] + [(50, [0.0, 1.0])] + [(i, [0.1, i / 100]) for i in range(3, 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in top_k(df, F.col("vec_id") % 50 == 0, k=5).collect())
+    assert [x[2] for x in got if x[0] == 50].count(1) >= 3 and got == brute(rows, 50, 5)
+    df.write.parquet(str(tmp_path / "e"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e/*.parquet'")
+    assert sorted((q, r, v, s) for q, r, v, s in con.execute(ORACLE).fetchall()) == got
