@@ -11,6 +11,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: What each application wrote: (table or None, path).
+_WRITTEN: dict[str, list[tuple[str | None, str]]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -50,6 +52,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     """Cut the lineage of `df`: write it once to the shared folder and read it back."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessaline-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append((None, path))
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -60,10 +63,22 @@ def written_by_key(df: DataFrame, label: str, key: str, buckets: int) -> DataFra
     spark = df.sparkSession
     name = f"tessaline_{label}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append((name, path))
     df.write.mode("errorifexists").format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
     return spark.table(name)
 
 
+def clean_up(spark: SparkSession) -> int:
+    """Drop the tables and delete the folders that this session's jobs wrote so far; results that still read them are lost. Returns how many."""
+    gone = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for name, path in gone:
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(gone)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

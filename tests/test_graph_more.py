@@ -125,3 +125,13 @@ def test_a_cluster_must_name_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         session.shared_dir(Session())
+
+
+def test_intermediate_tables_can_be_removed(spark):
+    from tessaline import session
+
+    rows = spark.range(5)
+    one, two = session.written(rows, "test"), session.written_by_key(rows, "test", "id", 2)
+    assert one.count() == two.count() == 5
+    assert session.clean_up(spark) >= 2 and session.clean_up(spark) == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("tessaline_test")]
