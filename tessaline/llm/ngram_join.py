@@ -13,20 +13,21 @@ Set relations save the rest of the work:
   their order. Size and place bound the overlap of a whole block with another set, so blocks are
   skipped together.
 * Answer level. For each list one leader, the set nearest to all others (its n-grams are the most
-  common ones), is compared with the whole list. Answers of the other sets follow from the leader's:
-  two sets that both link with it are already in one class. Overlaps with the leader also bound those
-  among its followers: the Jaccard distance is a metric, so a pair whose distances from the leader
-  differ by more than 1 - t cannot link. Only the pairs left over, between different classes and
-  within all bounds, are compared.
+  common ones), is compared with the whole list. Answers of its followers, the sets that link with it, are
+  derived from its own: two followers are already in one class, and the overlap of a follower f with any set r
+  that the leader L met is that of L and r, less the n-grams of L that f lacks and r has, plus those that f has beyond
+  L and r has too. Only these two short lists are looked up in r; the follower's set does not travel again. Without
+  any lookup, overlaps and the Jaccard distance, a metric, rule out pairs that cannot link.
 
-Every compared pair is verified on whole sets. No list, class or bucket is capped.
+Only pairs without such an answer, between different classes and within all bounds, are compared by
+whole sets. No list, class or bucket is capped.
 
 Scale: n-grams go to buckets as 32 bits each, packed by block of texts, and a few bits come back;
 full sets travel only for sets that share a prefix n-gram. A set is known by 128 bits, an n-gram by 64.
 
 Defined cases: null, empty and white-space texts have the empty set and link with nothing, their class
 is their own doc_id; texts of fewer than n words have one n-gram, the whole sequence; repeated rows
-are one class; a class without any doc_id has a null class; an empty table gives an empty result;
+are one class; a class without any doc_id has a null class; texts are read whole; an empty table gives an empty result;
 other columns are not read.
 """
 
@@ -169,21 +170,70 @@ def _activate(block_id: int, rows: pa.Table, answers: pa.Table, n: int, buckets:
     return pa.table(out, schema=pa.schema([("uid", pa.int64()), ("n", pa.int32()), ("hub", pa.float64()), ("grams", pa.binary()), ("post_gram", pa.list_(pa.int64())), ("post_place", pa.list_(pa.int32()))]))
 
 
-def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _both(some: np.ndarray, grams: np.ndarray) -> int:
+    """How many of some n-grams are among the sorted ones of a set."""
+    at = np.searchsorted(grams, some)
+    at[at == len(grams)] = 0
+    return int((grams[at] == some).sum()) if len(grams) else 0
+
+
+def _overlaps(percent: int):
+    """Overlap of each pair, and of linked ones what x lacks of y (`less`) and has beyond it (`plus`)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both, less, plus = [], [], []
+            for x, y in zip(batch.column("x_grams"), batch.column("y_grams")):
+                one, two = np.frombuffer(x.as_buffer(), dtype=U64), np.frombuffer(y.as_buffer(), dtype=U64)
+                n = len(np.intersect1d(one, two, assume_unique=True))
+                linked = 100 * n >= percent * (len(one) + len(two) - n)
+                both.append(n)
+                less.append(np.setdiff1d(two, one, assume_unique=True).tobytes() if linked else None)
+                plus.append(np.setdiff1d(one, two, assume_unique=True).tobytes() if linked else None)
+            out = {k: batch.column(k) for k in ("x", "y", "x_n", "y_n")}
+            yield pa.RecordBatch.from_pydict(out | {"both": pa.array(both, pa.int64()), "less": pa.array(less, pa.binary()), "plus": pa.array(plus, pa.binary())})
+
+    return run
+
+
+def _derived(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The overlap of r with a follower, from that with its leader."""
     for batch in batches:
-        x, y = batch.column("x_grams"), batch.column("y_grams")
-        both = [len(np.intersect1d(np.frombuffer(x[i].as_buffer(), dtype=U64), np.frombuffer(y[i].as_buffer(), dtype=U64), assume_unique=True)) for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_pydict({"x": batch.column("x"), "y": batch.column("y"), "x_n": batch.column("x_n"), "y_n": batch.column("y_n"), "both": pa.array(both, pa.int64())})
+        both = []
+        for n, less, plus, grams in zip(batch.column("both").to_pylist(), batch.column("less"), batch.column("plus"), batch.column("grams")):
+            r = np.frombuffer(grams.as_buffer(), dtype=U64)
+            both.append(n - _both(np.frombuffer(less.as_buffer(), dtype=U64), r) + _both(np.frombuffer(plus.as_buffer(), dtype=U64), r))
+        out = {k: batch.column(k) for k in ("x", "y", "x_n", "y_n")}
+        yield pa.RecordBatch.from_pydict(out | {"both": pa.array(both, pa.int64())})
+
+
+def _judged(found: DataFrame, percent: int) -> DataFrame:
+    union = F.col("x_n") + F.col("y_n") - F.col("both")
+    return found.withColumn("linked", 100 * F.col("both") >= percent * union).withColumn("distance", 1 - F.col("both") / union)
 
 
 def _verified(pairs: DataFrame, active: DataFrame, percent: int, label: str) -> DataFrame:
-    """x, y, both, linked, distance of each pair (x, y)."""
+    """x, y, x_n, y_n, both, less, plus, linked, distance of each pair (x, y), by their whole sets."""
     one = active.select(F.col("uid").alias("x"), F.col("n").alias("x_n"), F.col("grams").alias("x_grams"))
     two = active.select(F.col("uid").alias("y"), F.col("n").alias("y_n"), F.col("grams").alias("y_grams"))
     full = pairs.select("x", "y").join(one, "x").join(two, "y").select("x", "y", "x_n", "y_n", "x_grams", "y_grams")
-    found = full.mapInArrow(_overlaps, "x long, y long, x_n int, y_n int, both long")
-    union = F.col("x_n") + F.col("y_n") - F.col("both")
-    return written(found.select("x", "y", "both", (100 * F.col("both") >= percent * union).alias("linked"), (1 - F.col("both") / union).alias("distance")), label)
+    return written(_judged(full.mapInArrow(_overlaps(percent), "x long, y long, x_n int, y_n int, both long, less binary, plus binary"), percent), label)
+
+
+def _by_leaders(pairs: DataFrame, led: DataFrame, active: DataFrame, percent: int) -> DataFrame:
+    """x, y, linked of those pairs one of which follows a leader that the other one met: their answers follow from the leader's."""
+    either = pairs.select(F.col("x").alias("r"), F.col("y").alias("f")).unionAll(pairs.select(F.col("y").alias("r"), F.col("x").alias("f")))
+    follows = led.where("linked").select(F.col("x").alias("f"), F.col("y").alias("leader"), F.col("x_n").alias("f_n"), "less", "plus")
+    met = led.select(F.col("x").alias("r"), F.col("y").alias("leader"), F.col("x_n").alias("r_n"), "both")
+    found = either.join(follows.select("f", "leader"), "f").join(met.select("r", "leader"), ["r", "leader"])
+    found = found.groupBy(F.least("r", "f").alias("x"), F.greatest("r", "f").alias("y")).agg(F.min(F.struct("leader", "r", "f")).alias("by")).select("x", "y", "by.*")
+    found = written(found.join(follows, ["f", "leader"]).join(met, ["r", "leader"]), "derived")
+    # what the follower has beyond its leader may all be in r: if that is too little, no lookup is needed
+    most = F.col("both") + F.octet_length("plus") / 8
+    near = found.where((100 + percent) * most >= percent * (F.col("f_n") + F.col("r_n")))
+    near = near.join(active.select(F.col("uid").alias("r"), "grams"), "r").select("x", "y", F.col("r_n").alias("x_n"), F.col("f_n").alias("y_n"), "both", "less", "plus", "grams")
+    answers = _judged(near.mapInArrow(_derived, "x long, y long, x_n int, y_n int, both long"), percent).select("x", "y", "linked")
+    return written(found.select("x", "y").join(answers, ["x", "y"], "left").select("x", "y", F.coalesce("linked", F.lit(False)).alias("linked")), "answers")
 
 
 def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80) -> DataFrame:
@@ -250,8 +300,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         .select("x", "y")
         .distinct()
     )
-    more = _verified(left.join(ruled, ["x", "y"], "left_anti"), active, percent, "more")
-    classes = connected_components(links.select("x", "y").unionAll(more.where("linked").select("x", "y")), "x", "y")
+    left = written(left.join(ruled, ["x", "y"], "left_anti"), "left")
+    answers = _by_leaders(left, led, active, percent)
+    more = _verified(left.join(answers, ["x", "y"], "left_anti"), active, percent, "more")
+    linked = [links.select("x", "y"), *(found.where("linked").select("x", "y") for found in (answers, more))]
+    classes = connected_components(linked[0].unionAll(linked[1]).unionAll(linked[2]), "x", "y")
 
     grouped = sets.join(classes.withColumnRenamed("node", "uid"), "uid", "left").select("k1", "k2", "least_doc", F.coalesce("component", "uid").alias("class"))
     grouped = written(grouped, "grouped")

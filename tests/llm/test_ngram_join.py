@@ -63,3 +63,43 @@ def test_whole_table(spark, sf):
 
 def test_empty_table(spark):
     assert ngram_jaccard_join(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chains_whose_links_pass_by_the_leaders(spark):
+    """Sets that link with a follower, not with its leader: their answers are derived."""
+    rng = random.Random(9)
+    vocab = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(6):
+        at = [rng.choice(vocab) for _ in range(160)]
+        for _ in range(14):
+            rows.append(" ".join(at))
+            for _ in range(rng.choice([0, 1, 3])):
+                copy = list(at)
+                copy[rng.randrange(160)] = rng.choice(vocab)
+                rows.append(" ".join(copy))
+            for _ in range(rng.choice([2, 3, 4])):
+                at[rng.randrange(160)] = rng.choice(vocab)
+    rng.shuffle(rows)
+    rows = list(enumerate(rows))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_derived_overlaps_are_the_whole_ones():
+    import numpy as np
+    import pyarrow as pa
+
+    from tessaline.llm.ngram_join import _derived, _overlaps
+
+    rng = np.random.default_rng(5)
+    draw = lambda n: np.unique(rng.integers(0, 400, n).astype(np.uint64))
+    raw = lambda x: x.astype(np.uint64).tobytes()
+    for _ in range(60):
+        leader, r = draw(rng.integers(1, 300)), draw(rng.integers(1, 300))
+        f = np.unique(np.concatenate([leader[rng.random(len(leader)) < 0.95], draw(3)]))
+        pair = lambda x, y: next(iter(_overlaps(1)(iter([pa.RecordBatch.from_pydict({"x": [1], "y": [2], "x_n": [len(x)], "y_n": [len(y)], "x_grams": [raw(x)], "y_grams": [raw(y)]})])))).to_pylist()[0]
+        follows, met = pair(f, leader), pair(r, leader)
+        if follows["less"] is None:
+            continue
+        got = next(iter(_derived(iter([pa.RecordBatch.from_pydict({"x": [1], "y": [2], "x_n": [len(r)], "y_n": [len(f)], "both": [met["both"]], "less": [follows["less"]], "plus": [follows["plus"]], "grams": [raw(r)]})])))).to_pylist()[0]
+        assert got["both"] == len(np.intersect1d(f, r))
