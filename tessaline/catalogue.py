@@ -264,7 +264,8 @@ query("v19_quantize8", _quantized(8))(_quantize(8))
 query("v19_quantize4", _quantized(4))(_quantize(4))
 
 
-@query("v20_subspaces")
+@query("v20_subspaces", f"""WITH {E}, x AS (SELECT vec_id, unnest(v) AS x, unnest(range(0, 64)) // 8 AS part FROM e), b AS (SELECT vec_id, part, min(x) AS lo, max(x) AS hi FROM x GROUP BY 1, 2)
+  SELECT vec_id, 64 AS dims, round(max(abs(x - (lo + least(255, floor((x - lo) / (hi - lo) * 255 + 0.5)) * ((hi - lo) / 255)))), 6) AS error FROM x JOIN b USING (vec_id, part) GROUP BY 1""")
 def _(spark, d):
     v = V.vec("embedding")
     back = codecs.from_subspaces(codecs.subspaces(v, 64))
@@ -556,7 +557,15 @@ def _(spark, d):
     return graph.pagerank(trade(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
-@query("g16_communities")
+def _communities_sql(rounds: int) -> str:
+    steps = "".join(
+        f", l{i + 1} AS MATERIALIZED (SELECT id, community FROM (SELECT v.src AS id, l.community, row_number() OVER (PARTITION BY v.src ORDER BY sum(v.w) DESC, l.community) AS n FROM v JOIN l{i} l ON l.id = v.dst GROUP BY v.src, l.community) WHERE n = 1)"
+        for i in range(rounds)
+    )
+    return f"WITH {TRADE}, v AS MATERIALIZED (SELECT src, dst, sum(weight) AS w FROM (SELECT src, dst, weight FROM edges UNION ALL SELECT dst, src, weight FROM edges) GROUP BY 1, 2), l0 AS (SELECT DISTINCT src AS id, src AS community FROM v){steps} SELECT id, community FROM l{rounds}"
+
+
+@query("g16_communities", _communities_sql(4))
 def _(spark, d):
     return graph.communities(trade(spark, d), 4)
 
@@ -595,7 +604,8 @@ for _how, _select in COMBINED.items():
     query(f"g14_{_how}", f"WITH RECURSIVE {PARTS} {_select}")(_unified(_how))
 
 
-@query("g24_similarity_classes")
+@query("g24_similarity_classes", f"""WITH RECURSIVE {E}, links AS MATERIALIZED (SELECT a.vec_id AS x, b.vec_id AS y FROM e a JOIN e b ON a.vec_id <> b.vec_id AND {IP}(a.v, b.v) / (sqrt({IP}(a.v, a.v)) * sqrt({IP}(b.v, b.v))) > 0.8),
+  r AS (SELECT vec_id, vec_id AS c FROM e UNION SELECT r.vec_id, links.y FROM r JOIN links ON links.x = r.c) SELECT vec_id AS node, min(c) AS component FROM r GROUP BY 1""")
 def _(spark, d):
     """The class of every row: rows are linked if their cosine similarity is over 0.8; a row without a link is alone."""
     e = vectors(spark, d)
