@@ -12,8 +12,8 @@ if longer than a sequence. Pieces are dealt evenly, by their row number, to grou
 a group of thousands of pieces wastes less than one sequence.
 
 Defined cases: a null or empty text is the one id 0; repeated rows are packed as often as they stand
-there; equal lengths keep the order of their rows; an empty table gives an empty result; other columns
-are not read.
+there; equal lengths keep the order of their rows; a null doc_id is kept as it is; an empty table gives an empty
+result; other columns are not read. Texts are read whole; one text's memory is that of its ids.
 """
 
 from __future__ import annotations
@@ -108,7 +108,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 
         words, uid = cache(vocabulary), TaskContext.get().partitionId() << 40
         for batch in batches:
-            for a, b, w in K.of_array(batch.column("text"), limit=2 * K.CHUNK_BYTES, refine=lower_parts if vocabulary.endswith("word_bpe_49k.json") else None):
+            for a, b, w in K.of_array(batch.column("text"), refine=lower_parts if vocabulary.endswith("word_bpe_49k.json") else None):
                 ids, sizes = words.of(w)
                 ends = np.concatenate(([0], np.cumsum(sizes)))[w.first]
                 length = np.diff(ends) + 1
@@ -141,7 +141,8 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def pack(items: DataFrame, max_tokens: int = 2048, max_pieces: int | None = None, max_attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.01, 0.01), rule: str = "norm", group_pieces: int = 4096) -> DataFrame:
     """Add sequence_id and offset to rows with a unique long `uid` and a `length`; other columns are kept.
 
-    By default the counts of pieces and attention cost allow whatever the tokens allow.
+    By default the counts of pieces and attention cost allow whatever the tokens allow. An item that does not fit into an
+    empty sequence is an error, so max_attention must be the square of the longest item's length at least.
     """
     ship(items.sparkSession)
     capacity = (max_tokens, max_pieces or max_tokens, max_attention or max_tokens * max_tokens)
