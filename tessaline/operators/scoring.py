@@ -72,8 +72,11 @@ def quality(r: DataFrame) -> DataFrame:
     )
 
 
-def ranked_overall(rows: DataFrame, *order: Column) -> DataFrame:
-    """Add `rank` over all rows: they are sorted by ranges, and each range starts behind the rows of those before it; no task holds all."""
+def ranked_overall(rows: DataFrame, *order: Column, alone: int = 1_000_000) -> DataFrame:
+    """Add `rank` over all rows. Up to `alone` of them are sorted in one task; more are sorted by ranges, and each range starts behind the rows of those before it."""
+    rows = written(rows, "unranked")
+    if rows.count() <= alone:
+        return rows.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
     sorted_ = written(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
     part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     ranges = sorted_.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))  # one row a range

@@ -77,3 +77,11 @@ def test_strategies(spark):
     found = [r.vec_id for r in search_by_strategy(e, 20, 9, approximate=True, indexed=True).collect()]
     assert strategy(5000, True) == "two_phase" and strategy(5, True) == "exact" and strategy(5, True, True) == "index"
     assert rough[:3] == [20, 10020, 20020] and len(set(found) & set(exact)) >= 5
+
+
+def test_ranges_rank_as_one_sort_does(spark):
+    from tessaline.operators.scoring import ranked_overall
+
+    rows = spark.range(5000).select("id", (F.xxhash64("id") % 700).alias("score")).repartition(7)
+    one, many = (sorted(tuple(r) for r in ranked_overall(rows, F.col("score").desc(), F.col("id"), alone=n).collect()) for n in (10_000, 10))
+    assert one == many and sorted(r[2] for r in one) == list(range(1, 5001))
