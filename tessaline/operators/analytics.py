@@ -87,9 +87,9 @@ def outliers_iqr(rows: DataFrame, by: str, value: str, reach: float = 1.5) -> Da
 
 
 def off_moving_average(rows: DataFrame, by: str, order: list[str], value: str, window: int = 10, factor: float = 2.0) -> DataFrame:
-    """Rows whose value is over `factor` times the mean of the `window` rows before."""
+    """Rows whose value is over `factor` times the mean of the `window` rows before; the mean is compared as it is, and returned rounded."""
     before = F.avg(value).over(Window.partitionBy(by).orderBy(*order).rowsBetween(-window, -1))
-    return rows.withColumn("before", F.round(before, 6)).where(F.col(value) > factor * F.col("before"))
+    return rows.withColumn("before", before).where(F.col(value) > factor * F.col("before")).withColumn("before", F.round("before", 6))
 
 
 def followed_by(rows: DataFrame, by: str, time: str, order: list[str], kind: str, pattern: list[str], within: str) -> DataFrame:
