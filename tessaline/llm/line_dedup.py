@@ -19,10 +19,11 @@ Blocks of bits of one SimHash don't give right results here: of the pairs with e
 test tables a third are within 3 bits, and 95 % within 10 only, where pigeonhole blocks are too short to be
 selective. README has the measured recall of the blocks above.
 
-Verifying needs no all-pairs list: at each block every line is compared with two others within the distance, the
-most frequent one and the nearest one, so a block that many lines share costs as many comparisons of texts as lines, twice.
-That may leave two groups apart if they meet only in blocks where both have nearer or more frequent
-neighbours, all of which fail the edit similarity; tests hold the groups to brute force.
+Verifying takes two steps, and needs no list of all pairs. First, at each block every line is compared with two others
+within the distance, the most frequent one and the nearest one, so a block that many lines share costs as many
+comparisons of texts as lines, twice. What that links are classes. Then each block where more pairs are within the distance, and
+whose lines are of several classes, compares all those pairs that are not of one class yet (`settle`); it gives a link for
+each two classes that it joins, never a row a pair. So lines are in one group just if links of all pairs that meet connect them.
 
 Scale: equal lines of one block of rows are sent once, so a line that stands everywhere costs each bucket
 one entry a block; line keys, SimHash blocks and answers travel as packed arrays, one row for each block and bucket;
@@ -350,6 +351,11 @@ def _blocks_of_lines(block_id: int, rows: pa.Table, firsts: pa.Table, text_col:
 
 def neighbours(code: np.ndarray, lid: np.ndarray, sim: np.ndarray, size: np.ndarray, weight: np.ndarray, distance: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(places, hubs, nearest) of lines with another within `distance` in their run of equal codes; hub: the lid of the weightiest one."""
+    return meetings(code, lid, sim, size, weight, distance, percent)[:3]
+
+
+def meetings(code: np.ndarray, lid: np.ndarray, sim: np.ndarray, size: np.ndarray, weight: np.ndarray, distance: int, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `neighbours` gives, and (places, borders) of the lines of each run where more pairs are near than those of lines with their hub or nearest one."""
     order = np.lexsort((lid, code))
     code, lid, sim, weight = code[order], lid[order], sim[order], weight[order]
     length = size[order].astype(np.int64)
@@ -359,6 +365,8 @@ def neighbours(code: np.ndarray, lid: np.ndarray, sim: np.ndarray, size: np.ndar
     # what is least, best: negative weight or bits, then the place, which is in order of lid
     hub, nearest = np.full(len(code), none), np.full(len(code), none)
     heavy = (255 - weight.astype(np.int64)) << 40
+    run_of = np.repeat(np.arange(len(begin)), count)
+    pairs = np.zeros(len(begin), dtype=np.int64)  # near ones, by run
 
     def offer(x: np.ndarray, y: np.ndarray, bits: np.ndarray) -> None:
         hub[x] = np.minimum(hub[x], heavy[y] | y)
@@ -379,21 +387,49 @@ def neighbours(code: np.ndarray, lid: np.ndarray, sim: np.ndarray, size: np.ndar
         x, y, bits = x[yes], y[yes], bits[yes]
         offer(x, y, bits)
         offer(y, x, bits)
+        np.add.at(pairs, run_of[x], 1)
         step += 1
-    for b, n in zip(begin[~small].tolist(), count[~small].tolist()):
+    for r, b, n in zip(np.flatnonzero(~small).tolist(), begin[~small].tolist(), count[~small].tolist()):
+        twice = 0
         for at in range(b, b + n, 256):
             x = np.arange(at, min(at + 256, b + n))[:, None]
             for to in range(b, b + n, 8192):
                 y = np.arange(to, min(to + 8192, b + n))[None, :]
                 yes, bits = near(x, y)
+                twice += int(np.count_nonzero(yes))
                 hub[x[:, 0]] = np.minimum(hub[x[:, 0]], np.where(yes, heavy[y] | y, none).min(axis=1))
                 nearest[x[:, 0]] = np.minimum(nearest[x[:, 0]], np.where(yes, bits.astype(np.int64) << 40 | y, none).min(axis=1))
+        pairs[r] = twice // 2
     found = np.flatnonzero(hub < none)
     place = (1 << 40) - 1
-    return order[found], lid[hub[found] & place], lid[nearest[found] & place]
-
-
-RUN = "x long, y long"
+    hubs, nearest = hub[found] & place, nearest[found] & place
+    one, two = np.tile(found, 2), np.concatenate([hubs, nearest])
+    told = np.unique(np.minimum(one, two) << 32 | np.maximum(one, two)) >> 32
+    more = pairs > np.bincount(run_of[told], minlength=len(begin))
+    rest = found[more[run_of[found]]]
+    borders = np.flatnonzero(np.concatenate(([True], run_of[rest][1:] != run_of[rest][:-1], [True]))) if len(rest) else np.zeros(1, np.int64)
+    return order[found], lid[hubs], lid[nearest], order[rest], borders
+
+
+#: Lines of one run that are compared in one place; a longer run is cut, and each two of its parts meet.
+PART = 4096
+#: x, y: lines to compare; or lids, sims: lines whose near pairs are to be compared unless they are of one class, all (split 0) or the first `split` ones with the others.
+RUN = "x long, y long, lids array<long>, sims array<long>, split int"
+
+
+def _cells(lid: np.ndarray, sim: np.ndarray, borders: np.ndarray) -> pa.Table:
+    """Rows of lids, sims and split for the runs borders[i]:borders[i + 1]."""
+    places, sizes, splits = [], [], []
+    for a, b in zip(borders[:-1].tolist(), borders[1:].tolist()):
+        parts = [np.arange(p, min(p + PART, b)) for p in range(a, b, PART)]
+        for i, part in enumerate(parts):
+            places += [part, *(x for other in parts[i + 1 :] for x in (part, other))]
+            sizes += [len(part), *(len(part) + len(other) for other in parts[i + 1 :])]
+            splits += [0, *(len(part) for _ in parts[i + 1 :])]
+    at = np.concatenate(places) if places else np.zeros(0, np.int64)
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), pa.int32())
+    columns = [pa.ListArray.from_arrays(offsets, pa.array(x[at].view(np.int64))) for x in (lid, sim)]
+    return pa.table({"lids": columns[0], "sims": columns[1], "split": pa.array(splits, pa.int32())})
 
 
 def _runs(distance: int, percent: int, buckets: int):
@@ -404,10 +440,13 @@ def _runs(distance: int, percent: int, buckets: int):
         weight = np.concatenate([np.frombuffer(unzip_bytes(x), dtype=np.uint8) for x in rows["weights"]])
         residue = np.concatenate([np.frombuffer(x, dtype="<u4") for x in rows["residues"]])
         size = np.concatenate([_unpack(x, "<u2") for x in rows["sizes"]]).astype(np.int32)
-        at, hub, nearest = neighbours(residue, lid, sim, size, weight, distance, percent)
+        at, hub, nearest, rest, borders = meetings(residue, lid, sim, size, weight, distance, percent)
         one, two = np.tile(lid[at], 2), np.concatenate([hub, nearest])
         pairs = np.unique(np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1), axis=0)
-        return pa.table({"x": pa.array(pairs[:, 0]), "y": pa.array(pairs[:, 1])})
+        cells = _cells(lid[rest], sim[rest], borders)
+        none = [pa.nulls(len(pairs), c.type) for c in cells.columns]
+        told = pa.Table.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], names=["x", "y", *cells.column_names])
+        return pa.concat_tables([told, pa.Table.from_arrays([*(pa.nulls(cells.num_rows, pa.int64()) for _ in "xy"), *cells.columns], names=told.column_names)])
 
     return run
 
@@ -439,25 +478,32 @@ def _texts(block_id: int, rows: pa.Table, wanted: pa.Table, id_col: str, text_co
     return pa.table({"lid": line_base(block_id) + want, "no_id": mine.is_null(), "doc_id": mine, "line_text": pa.array(out, pa.binary()).cast(pa.string())})
 
 
-def within(x: str, y: str, most: int) -> bool:
-    """Whether at most `most` inserted, deleted or replaced code points lead from x to y.
+def _stripped(x: str, y: str, most: int) -> tuple[bool | None, str, str]:
+    """Whether at most `most` edits lead from x to y, if that is plain, else None; and what is left of x and y to tell by.
 
-    What x and y begin and end with in common takes no edits. The rest is decided by an upper bound (replace
-    all of it, or word by word) or by the bit-parallel column algorithm, one machine word for 64 code points.
+    What x and y begin and end with in common takes no edits, and to replace all of the rest, or word by word, bounds them from above.
     """
     if abs(len(x) - len(y)) > most:
-        return False
+        return False, x, y
     same = len(os.path.commonprefix([x, y]))
     x, y = x[same:][::-1], y[same:][::-1]
     same = len(os.path.commonprefix([x, y]))
     x, y = x[same:], y[same:]
     if max(len(x), len(y)) <= most:
-        return True
+        return True, x, y
     one, two = x.split(" "), y.split(" ")
     if len(one) == len(two) and sum(max(len(a), len(b)) for a, b in zip(one, two) if a != b) <= most:
-        return True
-    if not x or not y:
-        return False
+        return True, x, y
+    return (None if x and y else False), x, y
+
+
+def within(x: str, y: str, most: int) -> bool:
+    """Whether at most `most` inserted, deleted or replaced code points lead from x to y, by the bit-parallel column algorithm, one machine word for 64 code points."""
+    plain, x, y = _stripped(x, y, most)
+    return _columns(x, y, most) if plain is None else plain
+
+
+def _columns(x: str, y: str, most: int) -> bool:
     places: dict[str, int] = {}
     for i, c in enumerate(x):
         places[c] = places.get(c, 0) | (1 << i)
@@ -479,17 +525,173 @@ def within(x: str, y: str, most: int) -> bool:
     return edits <= most
 
 
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, and how many each has."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64), np.array([len(t) for t in texts], dtype=np.int64)
+
+
+def _many_columns(pairs: list[tuple[str, str]], most: np.ndarray, n_words: int) -> np.ndarray:
+    """`_columns` of many pairs at once, whose first text has up to 64 * n_words code points."""
+    (xs, x_size), (ys, y_size) = _points([x for x, _ in pairs]), _points([y for _, y in pairs])
+    order = np.arange(len(pairs))
+    # the code points of each first text are numbered; masks: at which places each one stands
+    at = K.ragged(np.zeros(len(pairs), np.int64), x_size)
+    kinds, code = np.unique(np.repeat(order, x_size) << 21 | xs, return_inverse=True)
+    cell = code.ravel() * n_words + (at >> 6)
+    by = np.argsort(cell, kind="stable")
+    begin = np.flatnonzero(np.concatenate(([True], cell[by][1:] != cell[by][:-1])))
+    masks = np.zeros((len(kinds) + 1) * n_words, dtype=U64)
+    masks[cell[by][begin]] = np.bitwise_or.reduceat((U64(1) << (at & 63).astype(U64))[by], begin)
+    masks = masks.reshape(-1, n_words).T.copy()
+    asked = np.repeat(order, y_size) << 21 | ys
+    code = np.minimum(np.searchsorted(kinds, asked), len(kinds) - 1)
+    code[kinds[code] != asked] = len(kinds)
+    y_first = np.cumsum(y_size) - y_size
+    up, down = np.full((n_words, len(pairs)), (1 << 64) - 1, dtype=U64), np.zeros((n_words, len(pairs)), dtype=U64)
+    edits, last, top = x_size.copy(), (x_size - 1) >> 6, ((x_size - 1) & 63).astype(U64)
+    out = np.zeros(len(pairs), dtype=bool)
+    one, high = U64(1), U64(63)
+    for t in range(int(y_size.max())):
+        if not t & 7:  # pairs that are told leave
+            left = y_size - t
+            yes, no = edits + np.maximum(left, 0) <= most, edits - np.maximum(left, 0) > most
+            out[order[yes]] = True
+            stay = ~(yes | no)
+            if not stay.any():
+                return out
+            if not stay.all():
+                order, y_size, y_first, edits, last, top, most = (z[stay] for z in (order, y_size, y_first, edits, last, top, most))
+                up, down = up[:, stay], down[:, stay]
+        live = y_size > t
+        here = code[y_first + np.minimum(t, y_size - 1)]
+        more_in, less_in = np.ones(len(order), dtype=U64), np.zeros(len(order), dtype=U64)
+        for w in range(n_words):
+            eq, p, m = masks[w][here], up[w], down[w]
+            xv = eq | m
+            eq = eq | less_in
+            across = (((eq & p) + p) ^ p) | eq
+            more, less = m | ~(across | p), p & across
+            end = last == w
+            edits += np.where(live & end, (more >> top & one).astype(np.int64) - (less >> top & one).astype(np.int64), 0)
+            more_out, less_out = more >> high, less >> high
+            more, less = more << one | more_in, less << one | less_in
+            up[w], down[w] = less | ~(xv | more), more & xv
+            more_in, less_in = more_out, less_out
+    out[order] = edits <= most
+    return out
+
+
+#: Pairs of texts that are compared at once, and the work of array operations, by word of 64 code points and pair, beyond which one pair at a time is cheaper.
+AT_ONCE, WORK = 4096, 0.08
+
+
+def all_within(pairs: list[tuple[str, str]], percent: int) -> np.ndarray:
+    """Which pairs have the edit similarity `percent` / 100."""
+    out = np.zeros(len(pairs), dtype=bool)
+    open_: dict[int, list[tuple[int, str, str, int]]] = {}
+    for i, (x, y) in enumerate(pairs):
+        most = max(len(x), len(y)) * (100 - percent) // 100
+        plain, x, y = _stripped(x, y, most)
+        if plain is None:
+            if len(x) > len(y):
+                x, y = y, x
+            open_.setdefault(-(-len(x) // 64), []).append((i, x, y, most))
+        else:
+            out[i] = plain
+    for n_words, some in open_.items():
+        some.sort(key=lambda z: len(z[2]))
+        for a in range(0, len(some), AT_ONCE):
+            part = some[a : a + AT_ONCE]
+            if n_words * (1 / len(part) + 0.001) > WORK:
+                for i, x, y, most in part:
+                    out[i] = _columns(x, y, most)
+            else:
+                out[[z[0] for z in part]] = _many_columns([(x, y) for _, x, y, _ in part], np.array([z[3] for z in part]), n_words)
+    return out
+
+
 def _close(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = zip(batch.column("x_text"), batch.column("y_text"))
-        keep = []
-        for a, b in texts:
-            one, two = a.as_py(), b.as_py()
-            keep.append(within(one, two, max(len(one), len(two)) * (100 - percent) // 100))
+        keep = all_within(list(zip(batch.column("x_text").to_pylist(), batch.column("y_text").to_pylist())), percent)
         yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
     K.release()
 
 
+#: Near pairs of different classes that are held at once.
+HELD = 1 << 20
+
+
+def settle(rows: pa.Table, distance: int, percent: int) -> pa.Table:
+    """Links between classes of lines: what the near pairs of cells connect that classes don't. Rows: cell, split, place, lid, sim, grp, line_text."""
+    cell, split, place, lid, grp = (rows.column(c).to_numpy() for c in ("cell", "split", "place", "lid", "grp"))
+    sim = rows.column("sim").to_numpy().view(U64)
+    lines, first, code = np.unique(lid, return_index=True, return_inverse=True)
+    code = code.ravel()
+    texts = rows.column("line_text").take(pa.array(first)).to_pylist()
+    size = np.array([len(t) for t in texts], dtype=np.int64)
+    names, root = np.unique(grp, return_inverse=True)  # the class of each row, and the classes that links join
+    root, parent = root.ravel()[first], np.arange(len(names))
+    links: list[tuple[int, int]] = []
+    tried = np.zeros(0, dtype=np.int64)
+    held: list[np.ndarray] = []
+
+    def find(g: int) -> int:
+        while parent[g] != g:
+            parent[g] = parent[parent[g]]
+            g = parent[g]
+        return g
+
+    def flush() -> None:
+        nonlocal tried
+        todo = np.setdiff1d(np.concatenate(held), tried) if held else tried[:0]
+        held.clear()
+        tried = np.union1d(tried, todo) if len(tried) < 8 * HELD else tried
+        for a in range(0, len(todo), AT_ONCE):
+            x, y = todo[a : a + AT_ONCE] >> 32, todo[a : a + AT_ONCE] & 0xFFFFFFFF
+            now = parent
+            while (now[now] != now).any():
+                now = now[now]
+            apart = now[root[x]] != now[root[y]]
+            x, y = x[apart], y[apart]
+            yes = all_within([(texts[i], texts[j]) for i, j in zip(x.tolist(), y.tolist())], percent)
+            for i, j in zip(x[yes].tolist(), y[yes].tolist()):
+                one, two = find(root[i]), find(root[j])
+                if one != two:
+                    parent[max(one, two)] = min(one, two)
+                    links.append((int(lines[i]), int(lines[j])))
+
+    order = np.lexsort((place, cell))
+    begin = np.flatnonzero(np.concatenate(([True], cell[order][1:] != cell[order][:-1])))
+    n_held = 0
+    for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
+        mine = order[a:b]
+        k = int(split[mine[0]])
+        left, right = (mine[:k], mine[k:]) if k else (mine, mine)
+        for r in range(0, len(left), 256):
+            x, y = left[r : r + 256, None], right[None, :]
+            p, q = size[code[x]], size[code[y]]
+            near = (np.bitwise_count(sim[x] ^ sim[y]) <= distance) & (100 * np.abs(p - q) <= (100 - percent) * np.maximum(p, q)) & (root[code[x]] != root[code[y]])
+            i, j = np.nonzero(near)
+            i, j = code[left[r + i]], code[right[j]]
+            held.append(np.unique(np.minimum(i, j) << 32 | np.maximum(i, j)))
+            n_held += len(held[-1])
+            if n_held > HELD:
+                flush()
+                n_held = 0
+    flush()
+    out = np.array(links, dtype=np.int64).reshape(-1, 2)
+    return pa.table({"x": pa.array(out.min(axis=1) if len(out) else out[:, 0]), "y": pa.array(out.max(axis=1) if len(out) else out[:, 1])})
+
+
+def _settled(cells: DataFrame, classes: DataFrame, texts: DataFrame, distance: int, percent: int) -> DataFrame:
+    """Links x, y between classes (lid, grp); lines without one are classes of their own."""
+    members = cells.select("cell", "split", "part", F.posexplode(F.arrays_zip("lids", "sims")).alias("place", "m")).select("cell", "split", "part", "place", F.col("m.lids").alias("lid"), F.col("m.sims").alias("sim"))
+    members = written(members.join(classes, "lid", "left").withColumn("grp", F.coalesce("grp", "lid")), "members")
+    mixed = members.groupBy("cell").agg(F.min("grp").alias("low"), F.max("grp").alias("high")).where("low <> high").select("cell")
+    full = members.join(mixed, "cell", "left_semi").join(texts.select("lid", "line_text"), "lid")
+    return full.groupBy("part").applyInArrow(lambda t: settle(t, distance, percent), "x long, y long")
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs x, y that have the edit similarity."""
     one = texts.select(F.col("lid").alias("x"), F.col("line_text").alias("x_text"))
@@ -520,14 +722,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     buckets = max(64, shuffle_width(spark), 2 * n_blocks)
     sent = with_answers(packed, firsts, lambda i, t, x: _blocks_of_lines(i, t, x, text_col, keys, buckets, fold_digits), SENT_FORM)
-    met = written(sent.groupBy("bucket").applyInArrow(_runs(distance, percent, buckets), RUN).distinct(), "met")
+    runs = written(sent.groupBy("bucket").applyInArrow(_runs(distance, percent, buckets), RUN), "runs")
+    met = written(runs.where("x is not null").select("x", "y").distinct(), "met")
     line = F.explode(F.array("x", "y")).alias("lid")
     wanted = met.select(line).distinct().select(block_of_line(F.col("lid")).alias("block_id"), line_of_lid(F.col("lid")).alias("line"))
     none = pa.table({"lid": pa.array([], pa.int64()), "no_id": pa.array([], pa.bool_()), "doc_id": pa.array([], pa.int64()), "line_text": pa.array([], pa.string())})
     texts = written(with_answers(packed, wanted, lambda i, t, x: _texts(i, t, x, id_col, text_col, fold_digits) if x.num_rows else none, TEXT), "texts")
 
     links = written(_verified(met, texts, percent), "links")
-    linked = connected_components(links, "x", "y").select(F.col("node").alias("lid"), F.col("component").alias("grp"))
+    linked = written(connected_components(links, "x", "y").select(F.col("node").alias("lid"), F.col("component").alias("grp")), "classes")
+    # equal runs are one cell; a cell's place among others is that of its first and last line, so that cells of the same lines meet
+    cells = runs.where("lids is not null").dropDuplicates(["lids", "split"]).withColumn("cell", F.monotonically_increasing_id())
+    cells = written(cells.withColumn("part", F.pmod(F.xxhash64(F.col("lids")[0], F.element_at("lids", -1)), F.lit(buckets))), "cells")
+    more = written(_settled(cells, linked, texts, distance, percent), "more")
+    if not more.isEmpty():
+        grp = linked.select("lid", "grp")
+        of = lambda c: F.coalesce(F.col(f"{c}_grp"), F.col(c))
+        ends = more.join(grp.toDF("x", "x_grp"), "x", "left").join(grp.toDF("y", "y_grp"), "y", "left").select(of("x").alias("x"), of("y").alias("y"))
+        joined = written(connected_components(ends, "x", "y").select(F.col("node").alias("grp"), F.col("component").alias("to")), "joined")
+        alone = joined.select(F.col("grp").alias("lid"), "grp").join(grp, "lid", "left_anti")
+        linked = grp.unionByName(alone).join(joined, "grp", "left").select("lid", F.coalesce("to", "grp").alias("grp"))
     linked = linked.join(texts.select("lid", "no_id", "doc_id"), "lid")
     linked = written(linked, "linked")
     stay = written(linked.groupBy("grp").agg(F.min(F.struct("no_id", "doc_id", "lid"))["lid"].alias("stay")), "stay")

@@ -4,8 +4,9 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from tessaline.llm import line_dedup as module
 from tessaline.llm import textkernel as K
-from tessaline.llm.line_dedup import LINE_BITS, WORDS, _small_simhashes, line_base, line_dedup, lines_of, neighbours, simhash_blocks, simhashes, sketches, within
+from tessaline.llm.line_dedup import LINE_BITS, WORDS, _cells, _small_simhashes, all_within, line_base, line_dedup, lines_of, meetings, neighbours, settle, simhash_blocks, simhashes, sketches, within
 
 
 def normal(line):
@@ -185,3 +186,63 @@ def test_edit_bound_agrees_with_the_plain_table():
         true = edits(x, y)
         for most in {0, 1, 5, max(true - 1, 0), true, true + 1}:
             assert within(x, y, most) == (true <= most)
+
+
+def test_lines_that_meet_behind_a_hub_are_linked(spark):
+    """Lines of each list link, but meet only where the first one is the hub and the nearest of all, and is near none."""
+    lists = [["reing", "esing", "eding"], ["thatnd", "thatan", "thaten", "thaton"], ["reble", "enble", "erble"], ["ereare", "ereaea", "ereaed"], ["to to", "or to", "of to"], ["chver", "scher", "cher"]]
+    rows = [(i, x) for i, x in enumerate(x for some in lists for x in some)]
+    assert run(spark, rows) == brute(rows) and sum(r[3] for r in brute(rows)) == 8
+
+
+def test_cells_join_the_classes_that_all_near_pairs_join(monkeypatch):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(40)).strip() + "x" for _ in range(12)]
+    texts = []
+    for _ in range(300):
+        t = list(rng.choice(base))
+        for _ in range(rng.randrange(9)):
+            t[rng.randrange(len(t))] = rng.choice("ijklmnop")
+        texts.append("".join(t))
+    lid, sim = np.arange(300) * 7, np.random.default_rng(5).integers(0, 1 << 12, 300).astype(np.uint64)
+    size = np.array([len(t) for t in texts])
+    near = lambda i, j: int(sim[i] ^ sim[j]).bit_count() <= 6 and within(texts[i], texts[j], max(size[i], size[j]) // 5)
+    pairs = [(i, j) for i in range(300) for j in range(i) if near(i, j)]
+
+    def classes(links):
+        root = list(range(300))
+        for i, j in links:
+            a, b = root[i], root[j]
+            root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    want = classes(pairs)
+    assert 12 < len(set(want)) < 200
+    code = np.zeros(300, dtype=np.uint32)
+    for part in (4096, 70):
+        monkeypatch.setattr(module, "PART", part)
+        at, hub, nearest, rest, borders = meetings(code, lid, sim, size, np.ones(300, np.uint8), 6, 80)
+        first = [(a, b // 7) for a, b in [*zip(at.tolist(), hub.tolist()), *zip(at.tolist(), nearest.tolist())] if near(a, b // 7)]
+        some = classes(first)
+        cells = _cells(lid[rest], sim[rest], borders).to_pylist()
+        assert (len(cells) > 1) == (part == 70)
+        rows = [(c, x["split"], p, i, s, some[i // 7], texts[i // 7]) for c, x in enumerate(cells) for p, (i, s) in enumerate(zip(x["lids"], x["sims"]))]
+        got = settle(pa.table(dict(zip(("cell", "split", "place", "lid", "sim", "grp", "line_text"), map(list, zip(*rows))))), 6, 80)
+        links = [(x // 7, y // 7) for x, y in zip(got.column("x").to_pylist(), got.column("y").to_pylist())]
+        assert classes(first + links) == want and some != want and len(links) < 300
+
+
+def test_many_pairs_at_once_agree_with_one_at_a_time():
+    rng = random.Random(3)
+    pairs = []
+    for size in (1, 5, 63, 64, 65, 128, 129, 300, 2000):
+        for _ in range(120 if size < 1000 else 6):
+            x = [rng.choice("abcdé漢 𝒳") for _ in range(size)]
+            y = list(x)
+            for _ in range(rng.randint(0, size // 3 + 1)):
+                k = rng.randrange(len(y) + 1)
+                y[k : k + rng.choice([0, 1])] = rng.choice(["", "q", "ü"])
+            pairs.append(("".join(x), "".join(y)))
+    got = all_within(pairs, 80)
+    assert got.tolist() == [within(x, y, max(len(x), len(y)) // 5) for x, y in pairs] and 100 < got.sum() < len(pairs) - 100
+    assert all(edits(x, y) * 5 <= max(len(x), len(y)) if yes else edits(x, y) * 5 > max(len(x), len(y)) for (x, y), yes in zip(pairs, got.tolist()) if len(x) < 150)

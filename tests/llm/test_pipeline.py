@@ -81,3 +81,8 @@ def test_registered_and_runs(spark, sf):
     assert entry.queries()["pipeline"] is P.run
     out = P.run(spark, sf)
     assert out.count() > 0 and out.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "ids"]
+
+
+def test_lines_behind_a_hub_go_in_the_stage(spark):
+    docs = spark.createDataFrame(list(enumerate(["reing", "esing", "eding"])), "doc_id long, text string")
+    assert sorted(r.text for r in P.fuzzy_lines(spark, docs, "").collect()) == ["esing", "reing"]
