@@ -375,7 +375,8 @@ def meetings(code: np.ndarray, lid: np.ndarray, sim: np.ndarray, size: np.ndarra
     def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         bits = np.bitwise_count(sim[x] ^ sim[y])
         a, b = length[x], length[y]
-        return (bits <= distance) & (100 * np.abs(a - b) <= (100 - percent) * np.maximum(a, b)) & (lid[x] != lid[y]), bits
+        allowed = (100 - percent) * np.maximum(a, b)  # different lines have one edit at least
+        return (bits <= distance) & (100 * np.abs(a - b) <= allowed) & (allowed >= 100) & (lid[x] != lid[y]), bits
 
     small = count <= 64
     step = 1
@@ -581,6 +582,8 @@ def _many_columns(pairs: list[tuple[str, str]], most: np.ndarray, n_words: int)
     return out
 
 
+#: Machine words that first texts are filled up to, so that more of them are compared at once.
+FILLED = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
 #: Pairs of texts that are compared at once, and the work of array operations, by word of 64 code points and pair, beyond which one pair at a time is cheaper.
 AT_ONCE, WORK = 4096, 0.08
 
@@ -595,7 +598,8 @@ def all_within(pairs: list[tuple[str, str]], percent: int) -> np.ndarray:
         if plain is None:
             if len(x) > len(y):
                 x, y = y, x
-            open_.setdefault(-(-len(x) // 64), []).append((i, x, y, most))
+            n_words = -(-len(x) // 64)
+            open_.setdefault(int(FILLED[np.searchsorted(FILLED, n_words)]) if n_words <= FILLED[-1] else n_words, []).append((i, x, y, most))
         else:
             out[i] = plain
     for n_words, some in open_.items():
@@ -646,8 +650,8 @@ def settle(rows: pa.Table, distance: int, percent: int) -> pa.Table:
         todo = np.setdiff1d(np.concatenate(held), tried) if held else tried[:0]
         held.clear()
         tried = np.union1d(tried, todo) if len(tried) < 8 * HELD else tried
-        for a in range(0, len(todo), AT_ONCE):
-            x, y = todo[a : a + AT_ONCE] >> 32, todo[a : a + AT_ONCE] & 0xFFFFFFFF
+        for a in range(0, len(todo), 8 * AT_ONCE):
+            x, y = todo[a : a + 8 * AT_ONCE] >> 32, todo[a : a + 8 * AT_ONCE] & 0xFFFFFFFF
             now = parent
             while (now[now] != now).any():
                 now = now[now]
@@ -670,7 +674,8 @@ def settle(rows: pa.Table, distance: int, percent: int) -> pa.Table:
         for r in range(0, len(left), 256):
             x, y = left[r : r + 256, None], right[None, :]
             p, q = size[code[x]], size[code[y]]
-            near = (np.bitwise_count(sim[x] ^ sim[y]) <= distance) & (100 * np.abs(p - q) <= (100 - percent) * np.maximum(p, q)) & (root[code[x]] != root[code[y]])
+            allowed = (100 - percent) * np.maximum(p, q)
+            near = (np.bitwise_count(sim[x] ^ sim[y]) <= distance) & (100 * np.abs(p - q) <= allowed) & (allowed >= 100) & (root[code[x]] != root[code[y]])
             i, j = np.nonzero(near)
             i, j = code[left[r + i]], code[right[j]]
             held.append(np.unique(np.minimum(i, j) << 32 | np.maximum(i, j)))
@@ -733,7 +738,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     linked = written(connected_components(links, "x", "y").select(F.col("node").alias("lid"), F.col("component").alias("grp")), "classes")
     # equal runs are one cell; a cell's place among others is that of its first and last line, so that cells of the same lines meet
     cells = runs.where("lids is not null").dropDuplicates(["lids", "split"]).withColumn("cell", F.monotonically_increasing_id())
-    cells = written(cells.withColumn("part", F.pmod(F.xxhash64(F.col("lids")[0], F.element_at("lids", -1)), F.lit(buckets))), "cells")
+    cells = written(cells.withColumn("part", F.pmod(F.xxhash64(F.col("lids")[0], F.element_at("lids", -1)), F.lit(max(8, buckets // 16)))), "cells")
     more = written(_settled(cells, linked, texts, distance, percent), "more")
     if not more.isEmpty():
         grp = linked.select("lid", "grp")
