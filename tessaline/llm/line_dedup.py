@@ -39,7 +39,6 @@ replaced. A text may have up to 2**30 lines, and its memory is that of the text
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -106,17 +105,18 @@ def simhashes(prints: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _small_simhashes(prints: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The SimHash of each run prints[begin:begin + size]; runs of up to 15 are counted in four bit planes."""
     out = np.zeros(len(begin), dtype=U64)
-    for n in np.unique(size).tolist():
+    who = np.flatnonzero(size > 15)
+    if len(who):
+        out[who] = simhashes(prints[K.ragged(begin[who], size[who])], np.concatenate(([0], np.cumsum(size[who]))))
+    for n in np.unique(size[size <= 15]).tolist():
         who = np.flatnonzero(size == n)
-        if n > 15:
-            first = np.concatenate(([0], np.cumsum(size[who])))
-            out[who] = simhashes(prints[K.ragged(begin[who], size[who])], first)
-            continue
-        planes = [np.zeros(len(who), dtype=U64) for _ in range(int(n).bit_length())]
+        planes: list[np.ndarray] = []
         for k in range(n):
             carry = prints[begin[who] + k]
             for i, p in enumerate(planes):
                 planes[i], carry = p ^ carry, p & carry
+            if not k & (k + 1):  # up to here no carry has left the planes
+                planes.append(carry)
         more, same = np.zeros(len(who), dtype=U64), np.full(len(who), (1 << 64) - 1, dtype=U64)
         for i in reversed(range(len(planes))):  # the count of each bit against n // 2, from the highest plane on
             if (n // 2) >> i & 1:
@@ -141,7 +141,7 @@ def simhash_blocks(prints: np.ndarray, first: np.ndarray, per_block: float, keys
     """
     size = np.diff(first)
     low, high = (np.floor(np.log2(np.maximum(1.0, share * size / per_block))).astype(np.int64) for share in (0.94, 1.06))
-    whose, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=U64)]
+    (whose, starts, sizes), (salts, runs), total = ([np.zeros(0, dtype=np.int64)] for _ in range(3)), ([np.zeros(0, dtype=U64)] for _ in range(2)), 0
     for level in np.unique(np.concatenate([low, high])).tolist():
         some = np.flatnonzero((low <= level) & (level <= high) & (size > 0))
         if not len(some):
@@ -165,8 +165,13 @@ def simhash_blocks(prints: np.ndarray, first: np.ndarray, per_block: float, keys
             place = place[begin]
             salt = (place & (blocks - 1)) + ((kind << 40) + (level << 20) + turn * blocks)
             whose.append(some[place >> level])
-            found.append(K.mix(_small_simhashes(dealt, begin, n) + K.mix(salt.astype(U64))))
-    return np.concatenate(whose), np.concatenate(found)
+            salts.append(salt.astype(U64))
+            runs.append(dealt)
+            starts.append(begin + total)
+            sizes.append(n)
+            total += len(dealt)
+    sims = _small_simhashes(np.concatenate(runs), np.concatenate(starts), np.concatenate(sizes))
+    return np.concatenate(whose), K.mix(sims + K.mix(np.concatenate(salts)))
 
 
 def sketches(w: K.Words, begin: np.ndarray, end: np.ndarray, keys: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -460,13 +465,14 @@ def _texts(block_id: int, rows: pa.Table, wanted: pa.Table, id_col: str, text_co
     want = np.sort(wanted.column("line").to_numpy())
     ids = rows.column(id_col).cast(pa.int64()).combine_chunks()
     data, offsets = K.flat_bytes(rows.column(text_col))
-    broken = np.concatenate(([0], np.cumsum(data == 0x0A)))
-    first = np.concatenate(([0], np.cumsum(broken[offsets[1:]] - broken[offsets[:-1]] + 1)))  # of each text, among all lines
+    breaks = np.flatnonzero(data == 0x0A)
+    broken = np.searchsorted(breaks, offsets)  # line breaks before each text
+    first = np.concatenate(([0], np.cumsum(np.diff(broken) + 1)))  # of each text, among all lines
     owner = np.searchsorted(first, want, side="right") - 1
     # where each wanted line begins: behind the line break before it, or with its text
-    breaks = np.append(np.flatnonzero(data == 0x0A), len(data))
+    breaks = np.append(breaks, len(data))
     nth = want - first[owner]
-    before = broken[offsets[owner]] + nth
+    before = broken[owner] + nth
     begin = np.where(nth > 0, breaks[np.maximum(before - 1, 0)] + 1, offsets[owner])
     end = np.minimum(breaks[np.minimum(before, len(breaks) - 1)], offsets[owner + 1])
     some = K.binary_array(data[K.ragged(begin, end - begin)], np.concatenate(([0], np.cumsum(end - begin))))
@@ -479,6 +485,52 @@ def _texts(block_id: int, rows: pa.Table, wanted: pa.Table, id_col: str, text_co
     return pa.table({"lid": line_base(block_id) + want, "no_id": mine.is_null(), "doc_id": mine, "line_text": pa.array(out, pa.binary()).cast(pa.string())})
 
 
+def _same(x: str, y: str) -> int:
+    """How many code points x and y begin with in common."""
+    low, high = 0, min(len(x), len(y))
+    step = 8
+    while low < high:
+        to = min(low + step, high)
+        if x[low:to] == y[low:to]:
+            low, step = to, 2 * step
+        else:
+            high, step = to - 1, max(1, (to - low) // 2)
+    return low
+
+
+#: Words that are looked ahead for where two texts go on alike.
+AHEAD = 12
+
+
+def _by_words(one: list[str], two: list[str], most: int) -> bool:
+    """Whether replaced, inserted and deleted words lead from one to two by `most` edits; where they differ, they go on at the nearest word in common."""
+    i = j = edits = 0
+    n, m = len(one), len(two)
+    while i < n and j < m:
+        if one[i] == two[j]:
+            i, j = i + 1, j + 1
+            continue
+        some, other = one[i : i + AHEAD], two[j : j + AHEAD]
+        p, q = len(some), len(other)
+        best = p + q
+        for k, word in enumerate(some):
+            if k >= best:
+                break
+            if word in other and k + (at := other.index(word)) < best:
+                p, q = k, at
+                best = p + q
+        both = min(p, q)
+        for a, b in zip(some[:both], other[:both]):
+            if a != b:
+                edits += max(len(a), len(b))
+        for word in some[both:p] or other[both:q]:
+            edits += len(word) + 1
+        if edits > most:
+            return False
+        i, j = i + p, j + q
+    return edits + sum(len(w) + 1 for w in one[i:] or two[j:]) <= most
+
+
 def _stripped(x: str, y: str, most: int) -> tuple[bool | None, str, str]:
     """Whether at most `most` edits lead from x to y, if that is plain, else None; and what is left of x and y to tell by.
 
@@ -486,14 +538,14 @@ def _stripped(x: str, y: str, most: int) -> tuple[bool | None, str, str]:
     """
     if abs(len(x) - len(y)) > most:
         return False, x, y
-    same = len(os.path.commonprefix([x, y]))
+    same = _same(x, y)
     x, y = x[same:][::-1], y[same:][::-1]
-    same = len(os.path.commonprefix([x, y]))
+    same = _same(x, y)
     x, y = x[same:], y[same:]
     if max(len(x), len(y)) <= most:
         return True, x, y
     one, two = x.split(" "), y.split(" ")
-    if len(one) == len(two) and sum(max(len(a), len(b)) for a, b in zip(one, two) if a != b) <= most:
+    if len(one) == len(two) and sum(max(len(a), len(b)) for a, b in zip(one, two) if a != b) <= most or _by_words(one, two, most):
         return True, x, y
     return (None if x and y else False), x, y
 
@@ -505,24 +557,35 @@ def within(x: str, y: str, most: int) -> bool:
 
 
 def _columns(x: str, y: str, most: int) -> bool:
+    """The last step of `within`. Of each column only places in the band are told that a way of `most` edits can pass: with d code points more in y it leaves
+    the diagonals from 0 to -d by (most - d) / 2 at most. Above the band values are taken one larger at each column, below it one larger at each place."""
+    if len(x) > len(y):
+        x, y = y, x
+    below, above = (most - len(y) + len(x)) // 2, (most + len(y) - len(x)) // 2
     places: dict[str, int] = {}
     for i, c in enumerate(x):
         places[c] = places.get(c, 0) | (1 << i)
-    every, top = (1 << len(x)) - 1, 1 << (len(x) - 1)
-    up, down, edits, limit = every, 0, len(x), most + len(y)
-    for c in y:
-        here = places.get(c, 0)
-        across = (((here & up) + up) ^ up) | here
-        more, less = down | (every & ~(across | up)), up & across
-        if more & top:
-            edits += 1
-        elif less & top:
-            edits -= 1
-        limit -= 1
-        if edits > limit:  # each code point of y still to come takes off one at most
-            return False
-        more, less = (more << 1) | 1, less << 1
-        up, down = (less | ~(here | down | more)) & every, more & (here | down) & every
+    lo = hi = up = down = 0
+    edits, limit, stride = len(x), most + len(y), max(64, most // 4)
+    for a in range(0, len(y), stride):
+        gone, old, lo = max(0, a - above) - lo, hi, max(0, a - above)
+        hi = min(len(x), a + stride + below)
+        every, top = (1 << hi - lo) - 1, 1 << hi - lo - 1
+        up, down = up >> gone | (every >> old - lo << old - lo if old > lo else every), down >> gone
+        masks = {c: m >> lo & every for c, m in places.items()}
+        for c in y[a : a + stride]:
+            here = masks.get(c, 0)
+            across = (((here & up) + up) ^ up) | here
+            more, less = down | (every & ~(across | up)), up & across
+            if more & top:
+                edits += 1
+            elif less & top:
+                edits -= 1
+            limit -= 1
+            if edits > limit:  # each code point of y still to come takes off one at most
+                return False
+            more, less = (more << 1) | 1, less << 1
+            up, down = (less | ~(here | down | more)) & every, more & (here | down) & every
     return edits <= most
 
 
@@ -532,7 +595,7 @@ def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _many_columns(pairs: list[tuple[str, str]], most: np.ndarray, n_words: int) -> np.ndarray:
-    """`_columns` of many pairs at once, whose first text has up to 64 * n_words code points."""
+    """`_columns` of many pairs at once, whose first text is the shorter one and has up to 64 * n_words code points; the band is one for all, in whole words."""
     (xs, x_size), (ys, y_size) = _points([x for x, _ in pairs]), _points([y for _, y in pairs])
     order = np.arange(len(pairs))
     # the code points of each first text are numbered; masks: at which places each one stands
@@ -552,6 +615,9 @@ def _many_columns(pairs: list[tuple[str, str]], most: np.ndarray, n_words: int)
     edits, last, top = x_size.copy(), (x_size - 1) >> 6, ((x_size - 1) & 63).astype(U64)
     out = np.zeros(len(pairs), dtype=bool)
     one, high = U64(1), U64(63)
+    more_y = y_size - x_size
+    below, above, ends = int(((most - more_y) // 2).max()), int(((most + more_y) // 2).max()), int(last.min())
+    w_hi = 0
     for t in range(int(y_size.max())):
         if not t & 7:  # pairs that are told leave
             left = y_size - t
@@ -561,20 +627,27 @@ def _many_columns(pairs: list[tuple[str, str]], most: np.ndarray, n_words: int)
             if not stay.any():
                 return out
             if not stay.all():
-                order, y_size, y_first, edits, last, top, most = (z[stay] for z in (order, y_size, y_first, edits, last, top, most))
+                order, y_size, y_first, edits, last, top, most, more_y = (z[stay] for z in (order, y_size, y_first, edits, last, top, most, more_y))
                 up, down = up[:, stay], down[:, stay]
+                below, above, ends = int(((most - more_y) // 2).max()), int(((most + more_y) // 2).max()), int(last.min())
+                if min(n_words, (below + above) / 64 + 1.5) * (1 / len(order) + 0.001) > 2 * WORK:  # few are left
+                    out[order] = [_columns(*pairs[i], k) for i, k in zip(order.tolist(), most.tolist())]
+                    return out
         live = y_size > t
         here = code[y_first + np.minimum(t, y_size - 1)]
         more_in, less_in = np.ones(len(order), dtype=U64), np.zeros(len(order), dtype=U64)
-        for w in range(n_words):
+        w_hi = max(w_hi, min(n_words - 1, t + below >> 6))
+        for w in range(max(0, t - above >> 6), w_hi + 1):
             eq, p, m = masks[w][here], up[w], down[w]
             xv = eq | m
             eq = eq | less_in
             across = (((eq & p) + p) ^ p) | eq
             more, less = m | ~(across | p), p & across
-            end = last == w
-            edits += np.where(live & end, (more >> top & one).astype(np.int64) - (less >> top & one).astype(np.int64), 0)
             more_out, less_out = more >> high, less >> high
+            if w >= ends:
+                edits += np.where(live & (last == w), (more >> top & one).astype(np.int64) - (less >> top & one).astype(np.int64), 0)
+            if w == w_hi and w_hi < n_words - 1:  # what is below the band follows its last place
+                edits += np.where(live & (last > w), more_out.astype(np.int64) - less_out.astype(np.int64), 0)
             more, less = more << one | more_in, less << one | less_in
             up[w], down[w] = less | ~(xv | more), more & xv
             more_in, less_in = more_out, less_out
@@ -582,31 +655,95 @@ def _many_columns(pairs: list[tuple[str, str]], most: np.ndarray, n_words: int)
     return out
 
 
+#: Code points that bounds of edits read at once, and the counters of bigrams of a text.
+READ, COUNTERS = 1 << 20, 1024
+
+
+def _counted(texts: list[str]) -> np.ndarray:
+    """How often each bigram stands in each text, in COUNTERS hashed counters up to 255."""
+    out = np.zeros((len(texts), COUNTERS), dtype=np.uint8)
+    total = np.cumsum([len(t) for t in texts])
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, min(a + 2048, int(np.searchsorted(total, (total[a - 1] if a else 0) + READ, side="right"))))
+        points, size = _points(texts[a:b])
+        text = np.repeat(np.arange(b - a) * COUNTERS, size)
+        counter = ((points[:-1] * 0x9E3779B1 + points[1:] * 0x85EBCA77) >> 15) & COUNTERS - 1
+        cell = (text[:-1] + counter)[text[:-1] == text[1:]]
+        out[a:b] = np.minimum(np.bincount(cell, minlength=(b - a) * COUNTERS), 255).reshape(-1, COUNTERS)
+        a = b
+    return out
+
+
+def _surely_apart(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Which pairs surely differ in more than `most` edits: an edit changes 2 bigrams of a text at most. Full counters only make fewer pairs sure."""
+    places: dict[str, int] = {}
+    at = np.array([[places.setdefault(x, len(places)), places.setdefault(y, len(places))] for x, y in pairs], dtype=np.int64).reshape(-1, 2)
+    counted = _counted(list(places))
+    total = counted.sum(axis=1, dtype=np.int64)
+    out = np.zeros(len(pairs), dtype=bool)
+    for a in range(0, len(pairs), 512):
+        x, y = at[a : a + 512].T
+        other = counted[y]
+        missing = (np.maximum(counted[x], other) - other).sum(axis=1, dtype=np.int64)  # of x in y
+        out[a : a + 512] = np.maximum(missing, missing - total[x] + total[y]) > 2 * most[a : a + 512]
+    return out
+
+
+def _apart(pairs: list[tuple[str, str]], most: np.ndarray) -> np.ndarray:
+    """Which pairs surely differ in more than `most` edits: an edit changes 3 trigrams of a text at most, and more of one text's are missing in the other.
+
+    Trigrams are told apart by their hashes; equal hashes only make fewer pairs sure.
+    """
+    out = np.zeros(len(pairs), dtype=bool)
+    total = np.cumsum([len(x) + len(y) for x, y in pairs])
+    a = 0
+    while a < len(pairs):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + READ, side="right")))
+        points, size = _points([z for pair in pairs[a:b] for z in pair])
+        points = points.astype(U64)
+        grams = K.mix(points[:-2] | points[1:-1] << U64(21) | points[2:] << U64(42)) >> U64(31)
+        text = np.repeat(np.arange(len(size), dtype=U64), size)
+        inside = text[:-2] == text[2:]
+        text = text[:-2][inside]
+        key = np.sort((text >> U64(1)) << U64(34) | grams[inside] << U64(1) | text & U64(1))
+        begin = np.flatnonzero(np.concatenate(([True], key[1:] >> U64(1) != key[:-1] >> U64(1)))) if len(key) else np.zeros(0, np.int64)
+        more = np.add.reduceat(1 - 2 * (key & U64(1)).astype(np.int64), begin) if len(key) else begin  # of a trigram in the first text
+        pair = (key[begin] >> U64(34)).astype(np.int64)
+        missing = np.maximum(*(np.bincount(pair, np.maximum(x, 0), b - a) for x in (more, -more)))
+        out[a:b] = missing > 3 * most[a:b]
+        a = b
+    return out
+
+
 #: Machine words that first texts are filled up to, so that more of them are compared at once.
 FILLED = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64])
-#: Pairs of texts that are compared at once, and the work of array operations, by word of 64 code points and pair, beyond which one pair at a time is cheaper.
-AT_ONCE, WORK = 4096, 0.08
+#: Pairs of texts that are compared at once, and the work of array operations, by word of 64 code points of the band and pair, beyond which one pair at a time is cheaper.
+AT_ONCE, WORK = 4096, 0.05
 
 
 def all_within(pairs: list[tuple[str, str]], percent: int) -> np.ndarray:
     """Which pairs have the edit similarity `percent` / 100."""
     out = np.zeros(len(pairs), dtype=bool)
-    open_: dict[int, list[tuple[int, str, str, int]]] = {}
-    for i, (x, y) in enumerate(pairs):
-        most = max(len(x), len(y)) * (100 - percent) // 100
-        plain, x, y = _stripped(x, y, most)
+    asked: list[tuple[int, str, str, int]] = []
+    limits = np.array([max(len(x), len(y)) * (100 - percent) // 100 for x, y in pairs], dtype=np.int64)
+    for i in np.flatnonzero(~_surely_apart(pairs, limits)).tolist():
+        most = int(limits[i])
+        plain, x, y = _stripped(*pairs[i], most)
         if plain is None:
-            if len(x) > len(y):
-                x, y = y, x
-            n_words = -(-len(x) // 64)
-            open_.setdefault(int(FILLED[np.searchsorted(FILLED, n_words)]) if n_words <= FILLED[-1] else n_words, []).append((i, x, y, most))
+            asked.append((i, x, y, most) if len(x) <= len(y) else (i, y, x, most))
         else:
             out[i] = plain
+    apart = _apart([(x, y) for _, x, y, _ in asked], np.array([z[3] for z in asked], dtype=np.int64))
+    open_: dict[int, list[tuple[int, str, str, int]]] = {}
+    for k in np.flatnonzero(~apart).tolist():
+        n_words = -(-len(asked[k][1]) // 64)
+        open_.setdefault(int(FILLED[np.searchsorted(FILLED, n_words)]) if n_words <= FILLED[-1] else n_words, []).append(asked[k])
     for n_words, some in open_.items():
         some.sort(key=lambda z: len(z[2]))
         for a in range(0, len(some), AT_ONCE):
             part = some[a : a + AT_ONCE]
-            if n_words * (1 / len(part) + 0.001) > WORK:
+            if min(n_words, part[-1][3] / 64 + 1.5) * (1 / len(part) + 0.001) > WORK:
                 for i, x, y, most in part:
                     out[i] = _columns(x, y, most)
             else:

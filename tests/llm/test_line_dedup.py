@@ -246,3 +246,49 @@ def test_many_pairs_at_once_agree_with_one_at_a_time():
     got = all_within(pairs, 80)
     assert got.tolist() == [within(x, y, max(len(x), len(y)) // 5) for x, y in pairs] and 100 < got.sum() < len(pairs) - 100
     assert all(edits(x, y) * 5 <= max(len(x), len(y)) if yes else edits(x, y) * 5 > max(len(x), len(y)) for (x, y), yes in zip(pairs, got.tolist()) if len(x) < 150)
+
+
+def test_most_pairs_are_told_without_a_column(monkeypatch):
+    """Unlike texts are told by bounds from below, texts with other words inserted, deleted and replaced by one from above."""
+    rng = random.Random(21)
+    vocab = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéö") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    unlike, like = [], []
+    for n in (10, 40, 200):
+        for _ in range(60):
+            x, y = ([rng.choice(vocab) for _ in range(n)] for _ in range(2))
+            unlike.append((" ".join(x), " ".join(y)))
+            z = list(x)
+            for _ in range(n // 20):
+                k = rng.randrange(1, len(z))
+                z[k : k + rng.choice([0, 1])] = rng.choice([[], [rng.choice(vocab)]])
+            like.append((" ".join(["begin", *x, "end"]), " ".join(["begun", *z, "ende"])))
+    asked = []
+    one, many = module._columns, module._many_columns
+    monkeypatch.setattr(module, "_columns", lambda *a: asked.append(a) or one(*a))
+    monkeypatch.setattr(module, "_many_columns", lambda pairs, *a: asked.extend(pairs) or many(pairs, *a))
+    assert not all_within(unlike, 80).any() and all_within(like, 80).all()
+    assert len(asked) < len(unlike + like) // 10
+
+
+def test_bounds_and_bands_agree_with_the_plain_table():
+    rng = random.Random(22)
+    for alphabet in ("ab ", "abcdefgh ", "aé漢𝒳 "):
+        pairs = []
+        for _ in range(250):
+            x = [rng.choice(alphabet) for _ in range(rng.choice([3, 20, 70, 140, 330]))]
+            y = list(x)
+            for _ in range(rng.randrange(1 + len(x) // 3)):
+                k = rng.randrange(len(y) + 1)
+                y[k : k + rng.randrange(3)] = [rng.choice(alphabet) for _ in range(rng.randrange(3))]
+            cut = rng.randrange(len(y) + 1)
+            pairs.append(("".join(x), "".join(rng.choice([y, y, y[cut:] + y[:cut]]))))
+        true = [edits(x, y) for x, y in pairs]
+        for percent in (50, 80, 95):
+            most = [max(len(x), len(y)) * (100 - percent) // 100 for x, y in pairs]
+            want = [e <= m for e, m in zip(true, most)]
+            assert all_within(pairs, percent).tolist() == want
+            for bound in (module._surely_apart, module._apart):
+                assert not any(a and w for a, w in zip(bound(pairs, np.array(most)), want))
+            assert not any(module._by_words(x.split(" "), y.split(" "), m) and not w for (x, y), m, w in zip(pairs, most, want))
+            for (x, y), m, w in zip(pairs, most, want):
+                assert not x or not y or abs(len(x) - len(y)) > m or module._columns(x, y, m) == w
